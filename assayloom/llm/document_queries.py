@@ -1,4 +1,4 @@
-"""Queries of problems 8 over the documents."""
+"""Queries of problems 8 and 9 over the documents."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.llm.leaks import leaks
+from assayloom.llm.spans import pairs_sharing, shared_parts
 from assayloom.shared import table
 
 
@@ -21,6 +22,15 @@ def p8_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", "suite", "lang").join(by_item, "item_id", "left").fillna(0, ["n_docs", "most_passages"])
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_sharing(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands in others."""
+    return shared_parts(table(spark, sf_dir, "documents"), "doc_id")
+
+
 _GRAMS = """
 WITH w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
            UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM eval_items),
@@ -31,5 +41,16 @@ SQL = {
     "p8_by_item": _GRAMS
     + """SELECT item_id, suite, lang, coalesce(n_docs, 0) AS n_docs, coalesce(most_passages, 0) AS most_passages FROM eval_items
 LEFT JOIN (SELECT item_id, count(*) AS n_docs, max(n_passages) AS most_passages FROM f GROUP BY 1) USING (item_id)""",
+    "p9_found": """
+WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p9_shared": """
+WITH w AS (SELECT doc_id, i, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+s AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id))),
+g AS (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s)
+SELECT doc_id, any_value(length(text)) AS n_chars, count_if(before IS NULL OR i > before + 300) AS n_spans,
+  sum(CASE WHEN before IS NULL THEN 300 ELSE least(300, i - before) END)::BIGINT AS shared_chars,
+  round(sum(CASE WHEN before IS NULL THEN 300 ELSE least(300, i - before) END) / any_value(length(text)), 6) AS share
+FROM g JOIN documents USING (doc_id) GROUP BY doc_id""",
 }
-QUERIES = {"p8_found": p8_found, "p8_by_item": p8_by_item}
+QUERIES = {"p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_shared": p9_shared}
