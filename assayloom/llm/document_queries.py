@@ -1,13 +1,29 @@
-"""Queries of problems 8 and 9 over the documents."""
+"""Queries of problems 7, 8 and 9 over the documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayloom.llm.containers import fill_containers, token_counts
 from assayloom.llm.leaks import leaks
 from assayloom.llm.spans import pairs_sharing, shared_parts
-from assayloom.shared import table
+from assayloom.shared import stored, table
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, whole or in pieces, in a container of each capacity."""
+    counts = stored(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "tokens")
+    packed = fill_containers(counts, table(spark, sf_dir, "container_sizes"))
+    return packed.select("size_id", "container_id", "doc_id", "piece", "first_token", "n_tokens")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    packed = p7_packed(spark, sf_dir).where(F.col("container_id").isNotNull())
+    sizes = table(spark, sf_dir, "container_sizes").select("size_id", F.col("n_tokens").alias("capacity"))
+    sums = packed.groupBy("size_id").agg(F.count_distinct("container_id").alias("n_containers"), F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
+    return sums.join(sizes, "size_id").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 6))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +69,4 @@ SELECT doc_id, any_value(length(text)) AS n_chars, count_if(before IS NULL OR i
   round(sum(CASE WHEN before IS NULL THEN 300 ELSE least(300, i - before) END) / any_value(length(text)), 6) AS share
 FROM g JOIN documents USING (doc_id) GROUP BY doc_id""",
 }
-QUERIES = {"p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_shared": p9_shared}
