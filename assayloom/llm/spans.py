@@ -71,7 +71,7 @@ def _suffixes(span: int, prefix: int):
                 end = np.cumsum(size + 1) - 1
                 at = kept_positions(rolling, span - prefix + 1)
                 whose = np.minimum(np.searchsorted(end, at, "right"), len(end) - 1)
-                inside = at + prefix <= end[whose]
+                inside = (at >= (end - size)[whose]) & (at + prefix <= end[whose])  # a kept position can be a boundary
                 at, whose = at[inside], whose[inside]
                 whole = rolling.stretches(end - size, end).view(np.int64)
                 yield pd.DataFrame(
