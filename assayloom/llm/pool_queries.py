@@ -1,4 +1,4 @@
-"""Queries of problem 3 over the product pool."""
+"""Queries of problems 3 and 6 over the product pool."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.compound_queries import id_key
 from assayloom.llm.contributors import over_limit
-from assayloom.shared import table
+from assayloom.llm.variety import text_features, varied_subset
+from assayloom.shared import stored, table
 
 SHARE = 0.02
+WANTED = 1_000
 
 
 def _dropped(pool: DataFrame, of_output: bool) -> DataFrame:
@@ -32,6 +34,28 @@ def p3_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, scaffold) of the first row of each product; rows without a product have no structure to be varied in."""
+    pool = table(spark, sf_dir, "lead_selection_relaxed_pool").where(F.trim("product_smiles") != "")
+    return pool.groupBy("product_smiles").agg(F.min(F.struct("row_id", "scaffold")).alias("x")).select("x.row_id", "x.scaffold", "product_smiles")
+
+
+def p6_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WANTED products that cover the scaffolds and structures of the pool, in the order of selection."""
+    products = stored(_products(spark, sf_dir), "products")
+    slots, weights = text_features(F.col("scaffold"), "product_smiles")
+    chosen = varied_subset(products.select(F.col("row_id").alias("rec_id"), slots.alias("slots"), weights.alias("weights")), WANTED)
+    return products.join(F.broadcast(chosen), products["row_id"] == chosen["rec_id"]).select("row_id", "place", "scaffold", "product_smiles")  # WANTED rows
+
+
+def p6_by_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each scaffold's products in the pool, and how many of them were chosen."""
+    chosen = p6_subset(spark, sf_dir).groupBy("scaffold").agg(F.count(F.lit(1)).alias("n_chosen"))
+    pool = _products(spark, sf_dir).groupBy("scaffold").agg(F.count(F.lit(1)).alias("n_products"))
+    both = pool.join(chosen.withColumnRenamed("scaffold", "_s"), F.col("scaffold").eqNullSafe(F.col("_s")), "left")
+    return both.select("scaffold", "n_products", F.coalesce("n_chosen", F.lit(0)).cast("long").alias("n_chosen"))
+
+
 _RANKED = """
 WITH p AS (
   SELECT row_id, nullif(upper(regexp_replace(primary_parent_id, '[^A-Za-z0-9]', '', 'g')), '') AS parent,
@@ -46,4 +70,4 @@ best AS (SELECT coalesce(max(c), 0) AS level FROM levels WHERE c <= 1e-9 + {SHAR
 SELECT parent, count(*) AS n_kept, min(score) AS least_pic50, sum(row_id)::BIGINT AS id_sum FROM r
 WHERE parent IS NULL OR place <= (SELECT level FROM best) GROUP BY parent""",
 }
-QUERIES = {"p3_found": p3_found, "p3_capped": p3_capped}
+QUERIES = {"p3_found": p3_found, "p3_capped": p3_capped, "p6_subset": p6_subset, "p6_by_scaffold": p6_by_scaffold}
