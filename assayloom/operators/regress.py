@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.shared import stored
+
 
 def metrics(df: DataFrame, actual: str, predicted: str, by: list[str] = ()) -> DataFrame:
     """mae, rmse, r2 (1 - residual over total sum of squares, null where the total is 0) and n of each group."""
@@ -67,7 +69,7 @@ def grouped_ridge(df: DataFrame, group: Column, features: list[str], target: str
 
     A fold is a hash of the group, so that duplicates of a molecule never meet across folds. All models follow from one Z'Z per fold.
     """
-    rows = df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
+    rows = stored(df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")), "folds")  # it is read twice
     sums = gram(rows, "fold", features, target)
     total = sum(sums.values(), np.zeros((len(features) + 2,) * 2))
     models = [(f, a, ridge(total - z, a).tolist()) for f, z in sums.items() for a in alphas if (total - z)[0, 0] > 0]
