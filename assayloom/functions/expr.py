@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DESCRIPTORS = "mw logp tpsa hbd hba rot rings hac fsp3 bertz balaban chi0v chi1v chi2v kappa1 kappa2 kappa3".split()
 
@@ -41,7 +42,7 @@ def label_flags(code: Column) -> dict[str, Column]:
     return {k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def four_digits(x: pd.Series) -> pd.Series:
     """%.4g as C and Python print it; the JVM's formatter keeps trailing zeros and rounds ties up."""
     return x.map(lambda v: None if pd.isna(v) else format(v, ".4g"))
