@@ -33,7 +33,8 @@ def text_features(group: Column, text: str, gram: int = 4, group_weight: float =
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - gram + 1)), lambda i: F.substr(F.col(text), i, F.lit(gram))))
     slot = lambda kind, x: F.pmod(F.xxhash64(F.lit(kind), x), F.lit(SLOTS)).cast("int")
     slots = F.concat(F.array(slot("group", F.coalesce(group, F.lit("")))), F.transform(runs, lambda r: slot("run", r)))
-    weights = F.concat(F.array(F.lit(group_weight)), F.transform(runs, lambda r: (1 - group_weight) / F.size(runs))).cast("array<float>")
+    equal = F.array_repeat((1 - group_weight) / F.size(runs), F.size(runs))  # not computed anew for each run
+    weights = F.concat(F.array(F.lit(group_weight)), equal).cast("array<float>")
     return slots, weights
 
 
