@@ -15,14 +15,23 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 2_000
 
 
+def tanimoto(a: list[int], b: list[int]) -> float:
+    """Of two fingerprints; 0 where both are empty."""
+    mask = (1 << 64) - 1
+    both = sum(((x & y) & mask).bit_count() for x, y in zip(a, b))
+    either = sum(((x | y) & mask).bit_count() for x, y in zip(a, b))
+    return both / either if either else 0.0
+
+
 def greedy_portfolio(
-    df: DataFrame, order: list[tuple[str, bool]], wanted: int, caps: dict[str, int], spread: str | None = None, exempt: int = 3, schema: str | None = None
+    df: DataFrame, order: list[tuple[str, bool]], wanted: int, caps: dict[str, int], spread: str | None = None, prints: str | None = None, ceiling: float = 1.0, exempt: int = 3
 ) -> DataFrame:
     """df's rows that are chosen, with place (from 1).
 
     order: (column, descending), the last one unique; nulls come last. caps: at most so many rows of one value of a column (null is a
     value). First pass, in order: a row is taken if no cap is reached and, after the first `exempt`, its value of `spread` is not chosen
-    yet. Second pass: the free places are filled in order under the caps alone. An empty frame gives no rows.
+    yet or its fingerprint (`prints`, an array of 64-bit words) is less similar than `ceiling` to all that are chosen. Second pass: the free
+    places are filled in order under the caps alone. An empty frame gives no rows.
     """
     keys = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
     unique = order[-1][0]
@@ -51,12 +60,17 @@ def greedy_portfolio(
             same = same & F.coalesce(F.col(c) == F.lit(v), F.lit(False))
         return cond
 
-    for varied in ([True, False] if spread else [False]):
+    def varied_enough(row) -> bool:
+        if spread and all(r[spread] != row[spread] for r in chosen):
+            return True
+        return bool(prints) and all(tanimoto(row[prints], r[prints]) < ceiling for r in chosen)
+
+    for varied in ([True, False] if spread or prints else [False]):
         last = None
         while len(chosen) < wanted:
             left = df.where(reduce(lambda a, b: a & b, [excluded(c, full(c)) for c in caps], F.lit(True)))
             left = left.where(excluded(unique, [r[unique] for r in chosen]))
-            if varied and len(chosen) >= exempt:
+            if varied and not prints and len(chosen) >= exempt:
                 left = left.where(excluded(spread, [r[spread] for r in chosen]))
             if last is not None:
                 left = left.where(after(last))
@@ -69,7 +83,7 @@ def greedy_portfolio(
                 held = {c: sum(r[c] == row[c] for r in chosen) for c in caps}
                 if any(held[c] >= caps[c] for c in caps):
                     continue
-                if varied and len(chosen) >= exempt and any(r[spread] == row[spread] for r in chosen):
+                if varied and len(chosen) >= exempt and not varied_enough(row):
                     continue
                 chosen.append(row)
             last = block[-1]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayloom.functions import expr as E
 from assayloom.operators.enumerate import apply_transforms, first_products, levels
 from assayloom.operators.geometry import within
+from assayloom.operators.portfolio import greedy_portfolio
 from assayloom.operators.regress import grouped_ridge, loo_means, metrics
 from assayloom.operators.similarity import against_all, nearest, sign_words, vector_neighbours, words
 from assayloom.shared import stored, table
@@ -132,6 +133,14 @@ def g10_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.max("l_quantity")).withColumnsRenamed({"A": "most_a", "N": "most_n", "R": "most_r"})
 
 
+def d02_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """12 embeddings in the order of their first value, at most 2 of a label; after 3, of a new label or less than 0.45 similar to those chosen
+    by the signs of 64 dimensions; what is left free is filled in order."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("score"), sign_words("embedding", 64).alias("words"))
+    chosen = greedy_portfolio(stored(rows, "signs"), [("score", True), ("vec_id", False)], 12, {"label": 2}, "label", "words", 0.45)
+    return chosen.select("vec_id", "place")
+
+
 def e08_site_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of each transform at each site of the feature matrix's molecules, the first parent of each kept."""
     parents = table(spark, sf_dir, "final_model_feature_matrix").select(E.tidy("canonical_smiles").alias("parent")).where("parent IS NOT NULL").distinct()
@@ -154,13 +163,17 @@ def _sites_sql(source: str, column: str) -> str:
 
 
 _TIDY = r"nullif(regexp_replace(canonical_smiles, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '')"
-_FM = "(SELECT canonical_smiles, CASE WHEN isnan(pIC50) THEN NULL ELSE pIC50 END AS y FROM final_model_feature_matrix)"
+_FM = "(SELECT canonical_smiles, CASE WHEN pIC50::VARCHAR = 'nan' THEN NULL ELSE pIC50 END AS y FROM final_model_feature_matrix)"
 _PAIRS = (
     "WITH s AS (SELECT row_id, (" + " || ".join(f"(coalesce({b}, 0) = 1)::INT::VARCHAR" for b in BITS) + ")::BIT AS bits FROM feature_set_morgan_512), b AS (SELECT *, bit_count(bits) AS n FROM s),"
     f""" pairs AS (SELECT q.row_id AS query_id, r.row_id, bit_count(q.bits & r.bits)::DOUBLE / nullif(q.n + r.n - bit_count(q.bits & r.bits), 0) AS similarity
     FROM b q JOIN b r ON q.row_id % {EVERY} = 0 AND q.row_id <> r.row_id)"""
 )
 _SIGNS = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN 1::UBIGINT << {i} ELSE 0::UBIGINT END" for i in range(64))
+_D02 = """SELECT r.i, n + {cond}::INT, CASE WHEN {cond} THEN list_append(ids, r.vec_id) ELSE ids END, CASE WHEN {cond} THEN list_append(labels, r.label) ELSE labels END,
+  CASE WHEN {cond} THEN list_append(ws, r.w) ELSE ws END FROM {t} JOIN o r ON r.i = {t}.i + 1 WHERE n < 12"""
+_D02_CAP = "n < 12 AND len(list_filter(labels, lambda v: v = r.label)) < 2"
+_D02_NEW = """(n < 3 OR NOT list_contains(labels, r.label) OR len(list_filter(ws, lambda v: bit_count(v & r.w) >= 0.45 * (bit_count(v) + bit_count(r.w) - bit_count(v & r.w)))) = 0)"""
 SQL = {
     "a14_nearest": _PAIRS
     + """SELECT query_id, row_id AS nearest_id, round(similarity, 6) AS max_similarity, mean_similarity, n_compared FROM (
@@ -182,7 +195,7 @@ WITH r AS (SELECT y, avg(y) OVER (PARTITION BY canonical_smiles) AS p FROM {_FM}
 SELECT count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2 FROM r""",
     "a11_metrics": """
 WITH p AS (SELECT nullif(upper(regexp_replace(primary_parent_id, '[^A-Za-z0-9]', '', 'g')), '') AS k, n_unique_methods, pred_pIC50 AS p FROM lead_selection_relaxed_pool
-  WHERE pred_pIC50 IS NOT NULL AND NOT isnan(pred_pIC50)),
+  WHERE pred_pIC50 IS NOT NULL AND NOT pred_pIC50::VARCHAR = 'nan'),
 r AS (SELECT n_unique_methods, target_pIC50 AS y, p FROM p JOIN ranked_compounds ON k = nullif(upper(regexp_replace(representative_id, '[^A-Za-z0-9]', '', 'g')), '') WHERE target_pIC50 IS NOT NULL)
 SELECT n_unique_methods, count(*) AS n, round(avg(abs(y - p)), 10) AS mae, round(sqrt(avg((y - p) * (y - p))), 10) AS rmse,
   round(1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0), 10) AS r2 FROM r GROUP BY 1""",
@@ -202,6 +215,12 @@ SELECT query_id, round(sum((s + 1e-8) * label) / sum(s + 1e-8), 6) AS prediction
 WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
 d AS (SELECT p.vec_id AS point_id, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d FROM p JOIN p q ON q.vec_id % {EVERY} = 1)
 SELECT point_id, count(*) AS n_near, round(sqrt(min(d)), 6) AS least FROM d WHERE d <= 0.1 * 0.1 GROUP BY 1""",
+    "d02_diverse": f"""
+WITH RECURSIVE o AS MATERIALIZED (SELECT vec_id, label, {_SIGNS} AS w, row_number() OVER (ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS i FROM embeddings),
+a(i, n, ids, labels, ws) AS (SELECT 0::BIGINT, 0, []::BIGINT[], []::INT[], []::UBIGINT[] UNION ALL {_D02.format(cond=f'({_D02_CAP} AND {_D02_NEW})', t='a')}),
+b(i, n, ids, labels, ws) AS (SELECT * FROM (SELECT 0::BIGINT, n, ids, labels, ws FROM a ORDER BY i DESC LIMIT 1)
+  UNION ALL {_D02.format(cond=f'({_D02_CAP} AND NOT list_contains(ids, r.vec_id))', t='b')})
+SELECT unnest(ids) AS vec_id, unnest(range(1, len(ids) + 1)) AS place FROM (SELECT ids FROM b ORDER BY i DESC LIMIT 1)""",
     "g10_pivot": """
 SELECT l_orderkey, max(l_quantity) FILTER (l_returnflag = 'A') AS most_a, max(l_quantity) FILTER (l_returnflag = 'N') AS most_n, max(l_quantity) FILTER (l_returnflag = 'R') AS most_r FROM lineitem GROUP BY 1""",
     "e08_site_transforms": f"""

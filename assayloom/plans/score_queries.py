@@ -117,7 +117,7 @@ def c09_smiles_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _k(c: str) -> str:
-    return f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
+    return f"CASE WHEN {c}::VARCHAR = 'nan' THEN NULL ELSE {c} END"
 
 
 def _higher(c: str, over: str = "") -> str:
@@ -146,7 +146,7 @@ _Z = [f"((p.{c} - s.{c}_m) / coalesce(nullif(s.{c}_s, 0), 1))" for c in E.DESCRI
 _ATOM = r"\[[^\]]*\]|Br|Cl|[BCNOSPFIbcnosp]"
 SQL = {
     "expr_p03_label_flags": r"""
-SELECT row_id, nullif(regexp_replace(id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS source_id, CASE WHEN isnan(pIC50) THEN NULL ELSE pIC50 END AS pic50,
+SELECT row_id, nullif(regexp_replace(id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS source_id, CASE WHEN pIC50::VARCHAR = 'nan' THEN NULL ELSE pIC50 END AS pic50,
   coalesce(ic50 > 0, false) AS is_measured, coalesce(ic50 = 0, false) AS is_active_unmeasured, coalesce(ic50 = -1, false) AS is_inactive, coalesce(ic50 IN (0, -1), false) AS is_assigned,
   CASE WHEN ic50 > 0 THEN 'measured' WHEN ic50 = 0 THEN 'active_no_ic50' WHEN ic50 = -1 THEN 'inactive' END AS label_origin FROM raw_compounds""",
     "expr_p06_four_digits": f"SELECT row_id, format('{{:.4g}}', {_k('pIC50')}) AS pic50_text, format('{{:.4g}}', ic50::DOUBLE) AS ic50_text FROM raw_compounds",
@@ -154,7 +154,7 @@ SELECT row_id, nullif(regexp_replace(id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), ''
 SELECT row_id, n_violations, n_violations = lipinski_violations AS as_stated FROM (SELECT *, (coalesce(mw > 500, false)::BIGINT + coalesce(logp > 5, false)::BIGINT
   + coalesce(hbd > 5, false)::BIGINT + coalesce(hba > 10, false)::BIGINT) AS n_violations FROM {_pool('mw', 'logp', 'hbd', 'hba')})""",
     "expr_p08_normalize": f"SELECT row_id, round({_higher('qed')}, 6) AS qed_norm, round(1 - ({_higher('AMES')}), 6) AS ames_norm, round({_close('tpsa', 90, 40)}, 6) AS tpsa_close FROM {_pool('qed', 'AMES', 'tpsa')}",
-    "expr_p08_per_group": f"SELECT row_id, round({_higher('pIC50', 'PARTITION BY lab')}, 6) AS norm FROM raw_compounds WHERE lab IS NOT NULL AND pIC50 IS NOT NULL AND NOT isnan(pIC50)",
+    "expr_p08_per_group": f"SELECT row_id, round({_higher('pIC50', 'PARTITION BY lab')}, 6) AS norm FROM raw_compounds WHERE lab IS NOT NULL AND pIC50 IS NOT NULL AND NOT pIC50::VARCHAR = 'nan'",
     "expr_p11_micromolar": f"SELECT row_id, round(power(10, 6 - pred_pIC50), 4) AS ic50_um FROM {_pool('pred_pIC50')}",
     "expr_p13_row_consensus": f"""
 SELECT row_id, round(m, 6) AS mean, round(sqrt(({' + '.join(f'coalesce(({c} - m) * ({c} - m), 0)' for c in _CHI)}) / {_N}), 6) AS spread FROM (SELECT *, {_MEAN} AS m FROM {_pool(*_CHI)})""",
@@ -176,7 +176,7 @@ SELECT row_id, coalesce(NOT is_original_positive AND r < 0.30 AND x <= 0.85, fal
   coalesce(r >= 0.40 OR x > 0.85 OR is_original_positive, false) AS set_aside
 FROM (SELECT *, {_k('max_similarity_to_znf_reference')} AS r, {_k('max_similarity_to_existing')} AS x FROM lead_selection_relaxed_pool)""",
     "f28_numeric_guard": "\nUNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count_if({c} IS NULL OR isnan({c}))::BIGINT AS n_unknown FROM final_model_feature_matrix" for c in ["pIC50", *E.DESCRIPTORS]
+        f"SELECT '{c}' AS column_name, count_if({c} IS NULL OR {c}::VARCHAR = 'nan')::BIGINT AS n_unknown FROM final_model_feature_matrix" for c in ["pIC50", *E.DESCRIPTORS]
     ),
     "c09_smiles_counts": rf"""
 WITH s AS (SELECT row_id, product_smiles AS s, regexp_extract_all(product_smiles, '{_ATOM}') AS atoms, regexp_extract_all(product_smiles, '\[[^\]+\-]*([+\-]+\d*)\]', 1) AS marks

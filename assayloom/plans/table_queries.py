@@ -195,7 +195,7 @@ def x01_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEY = "nullif(upper(regexp_replace({}, '[^A-Za-z0-9]', '', 'g')), '')"
 _ID, _PARENT = _KEY.format("id"), _KEY.format("primary_parent_id")
-_NAN = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
+_NAN = "CASE WHEN {0}::VARCHAR = 'nan' THEN NULL ELSE {0} END"
 _CLEAN = "regexp_replace(id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
 
 
@@ -229,7 +229,7 @@ _ORDERED = f"""SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, row_
 SQL = {
     "s01_csv_round_trip": f"SELECT row_id, nullif({_CLEAN}, '') AS id, {_NAN.format('pIC50')} AS pIC50, ic50, lab FROM raw_compounds",
     "a01_consolidated": f"""
-WITH r AS (SELECT {_ID} AS id_key, pIC50 AS v, coalesce(ic50 > 0, false) AS m, row_id FROM raw_compounds WHERE pIC50 IS NOT NULL AND NOT isnan(pIC50))
+WITH r AS (SELECT {_ID} AS id_key, pIC50 AS v, coalesce(ic50 > 0, false) AS m, row_id FROM raw_compounds WHERE pIC50 IS NOT NULL AND NOT pIC50::VARCHAR = 'nan')
 SELECT id_key, round(coalesce(median(v) FILTER (m), median(v)), 6) AS target, count(DISTINCT v) > 1 AS has_conflict, count(*) AS n_rows, count_if(m)::BIGINT AS n_measured,
   count_if(NOT m)::BIGINT AS n_assigned, min(row_id) AS first_row,
   CASE WHEN count_if(m) = 0 THEN 'assigned_median' WHEN count_if(m) < count(*) THEN 'mixed_duplicate_measured_median' ELSE 'measured_median' END AS origin
