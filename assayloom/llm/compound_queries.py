@@ -84,7 +84,7 @@ WITH r AS (
 ), g AS (SELECT * FROM r WHERE id_key IS NOT NULL AND id_key IN (SELECT id_key FROM r GROUP BY 1 HAVING count(*) > 1)),
 c AS (
   SELECT id_key, 'id' AS field_name, row_id, class, reported_at FROM g WHERE id IS NOT NULL
-  UNION ALL SELECT id_key, 'pIC50', row_id, class, reported_at FROM g WHERE pIC50 IS NOT NULL AND NOT isnan(pIC50)
+  UNION ALL SELECT id_key, 'pIC50', row_id, class, reported_at FROM g WHERE pIC50 IS NOT NULL AND NOT pIC50::VARCHAR = 'nan'
   UNION ALL SELECT id_key, 'ic50', row_id, class, reported_at FROM g WHERE ic50 IS NOT NULL)
 SELECT id_key, field_name, row_id FROM c
 QUALIFY row_number() OVER (PARTITION BY id_key, field_name ORDER BY class, reported_at DESC NULLS LAST, row_id) = 1""",
@@ -99,7 +99,7 @@ WITH r AS (
 i AS (SELECT * FROM o WHERE id IS NOT NULL OR smiles IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id_key ORDER BY class, stamp DESC, row_id) = 1),
 l AS (SELECT id_key, row_id, ic50, expected, 2 - class AS t1, stamp AS t2 FROM o WHERE ic50 IS NOT NULL
       UNION ALL SELECT id_key, NULL, NULL, NULL, -1000, 0 FROM n),
-p AS (SELECT id_key, row_id, pIC50, round(pIC50, 1) AS k, 2 - class AS t1, stamp AS t2 FROM o WHERE pIC50 IS NOT NULL AND NOT isnan(pIC50)
+p AS (SELECT id_key, row_id, pIC50, round(pIC50, 1) AS k, 2 - class AS t1, stamp AS t2 FROM o WHERE pIC50 IS NOT NULL AND NOT pIC50::VARCHAR = 'nan'
       UNION ALL SELECT id_key, NULL, NULL, NULL, -1000, 0 FROM n),
 b AS (
   SELECT l.id_key, l.row_id AS label_row_id, l.ic50, p.row_id AS potency_row_id, p.pIC50 FROM l JOIN p ON l.id_key = p.id_key AND coalesce(l.expected = p.k, TRUE)

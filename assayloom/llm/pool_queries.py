@@ -59,7 +59,7 @@ def p6_by_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANKED = """
 WITH p AS (
   SELECT row_id, nullif(upper(regexp_replace(primary_parent_id, '[^A-Za-z0-9]', '', 'g')), '') AS parent,
-    CASE WHEN isnan(pred_pIC50) THEN NULL ELSE pred_pIC50 END AS score FROM lead_selection_relaxed_pool
+    CASE WHEN pred_pIC50::VARCHAR = 'nan' THEN NULL ELSE pred_pIC50 END AS score FROM lead_selection_relaxed_pool
 ), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC NULLS LAST, row_id) AS place FROM p)"""
 SQL = {
     "p3_found": _RANKED + f"SELECT row_id FROM r WHERE parent IS NOT NULL AND place > floor({SHARE} * (SELECT count(*) FROM p))",

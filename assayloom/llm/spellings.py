@@ -95,9 +95,10 @@ def encode(df: DataFrame, row_id: str, value: str, parts: Callable[[], Callable[
         f = parts()
         return values.map(f)
 
+    canonical = canonical.asNondeterministic()  # filtered by its result; so it is computed once
     distinct = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"), F.min(row_id).alias("first"))
-    spelled = stored(distinct.select("*", canonical("value").alias("parts")), "values").where(F.size("parts") > 0)
-    spelled = spelled.withColumn("value_id", F.monotonically_increasing_id())
+    spelled = distinct.select("*", canonical("value").alias("parts")).where(F.size("parts") > 0)
+    spelled = stored(spelled.withColumn("value_id", F.monotonically_increasing_id()), "values")
     exploded = spelled.select("value_id", F.explode("parts").alias("part"))
     # A part can be as frequent as a third of all values: it is counted first, and its lookup is spread.
     ids = stored(exploded.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("part_id", F.monotonically_increasing_id()), "parts")
