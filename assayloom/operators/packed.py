@@ -102,12 +102,12 @@ def unpack(df: DataFrame, row_id: str, fields: list[str], separators: str = SEPA
     than `least` values are left out. Other columns of df, whatever their names, are not read. A cell of any length is one value of
     one row; nothing is gathered across rows, so a column that is the same everywhere is no hot spot.
     """
-    cells = df.select(F.col(row_id), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("cell")) for f in fields])).alias("c"))
-    cells = cells.select(F.col(row_id), "c.field_name", "c.cell").where(F.trim("cell") != "")
+    cells = df.select(F.col(row_id).alias("_row"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("cell")) for f in fields])).alias("c"))
+    cells = cells.select("_row", "c.field_name", "c.cell").where(F.trim("cell") != "")
     if least > 1:  # without a separator a cell has one value at most
         cells = cells.where(F.col("cell").rlike("[" + re.escape(separators) + "]"))
-    parsed = cells.select(row_id, "field_name", parse_cells(separators)("cell").alias("_values"))
+    parsed = cells.select("_row", "field_name", parse_cells(separators)("cell").alias("_values"))
     parsed = parsed.where(F.size("_values") >= least).withColumn("n_values", F.size("_values").cast("long"))
-    return parsed.select(row_id, "field_name", "n_values", F.posexplode("_values").alias("_pos", "_v")).select(
-        row_id, "field_name", (F.col("_pos") + 1).cast("long").alias("pos"), "_v.value", "n_values", "_v.start", "_v.kind", "_v.error"
+    return parsed.select("_row", "field_name", "n_values", F.posexplode("_values").alias("_pos", "_v")).select(
+        F.col("_row").alias(row_id), "field_name", (F.col("_pos") + 1).cast("long").alias("pos"), "_v.value", "n_values", "_v.start", "_v.kind", "_v.error"
     )
