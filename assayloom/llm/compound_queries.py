@@ -103,7 +103,7 @@ p AS (SELECT id_key, row_id, pIC50, round(pIC50, 1) AS k, 2 - class AS t1, stamp
       UNION ALL SELECT id_key, NULL, NULL, NULL, -1000, 0 FROM n),
 b AS (
   SELECT l.id_key, l.row_id AS label_row_id, l.ic50, p.row_id AS potency_row_id, p.pIC50 FROM l JOIN p ON l.id_key = p.id_key AND coalesce(l.expected = p.k, TRUE)
-  QUALIFY row_number() OVER (PARTITION BY l.id_key ORDER BY l.t1 + p.t1 DESC, l.t2 + p.t2 DESC, coalesce(l.row_id, 0) + coalesce(p.row_id, 0)) = 1)
+  QUALIFY row_number() OVER (PARTITION BY l.id_key ORDER BY l.t1 + p.t1 DESC, l.t2 + p.t2 DESC, coalesce(l.row_id, 0) + coalesce(p.row_id, 0), l.row_id IS NULL) = 1)
 SELECT n.id_key, n.n_rows, i.id, i.smiles, i.row_id AS identity_row_id, b.ic50, b.label_row_id, b.pIC50, b.potency_row_id
 FROM n JOIN b USING (id_key) LEFT JOIN i USING (id_key)""",
     "p2_found": f"""

@@ -33,7 +33,7 @@ def test_search_is_optimal(spark, k):
     ]
     df = spark.createDataFrame([(r["row_id"], r["g"], r["a"], r["b"], r["t"], "extra") for r in rows], "row_id long, g string, a long, b long, t long, _g string")
     rule = Dependency("A", "B", F.col("a") % k, F.col("b") % k)
-    got = best_record(df.drop("_g"), F.col("g"), [Bundle("A", ("a",)), Bundle("B", ("b",))], [F.col("t")], "row_id", [rule])
+    got = best_record(df, F.col("g"), [Bundle("A", ("a",)), Bundle("B", ("b",))], [F.col("t")], "row_id", [rule])
     found = {r.id_key: (r.A and r.A.row_id, r.B and r.B.row_id) for r in got.collect()}
     assert found == brute(rows, k)
 
