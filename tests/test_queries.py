@@ -30,3 +30,11 @@ def test_runs_with_a_stable_schema(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_package_is_shipped_once(spark):
+    from assayloom.shared import ship
+
+    ship(spark)
+    ship(spark)
+    assert sum("assayloom.zip" in f for f in spark.sparkContext.listFiles) == 1
