@@ -54,6 +54,12 @@ def expr_p11_micromolar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, POOL).select("row_id", F.round(E.micromolar(E.known("pred_pIC50")), 4).alias("ic50_um"))
 
 
+def expr_p26_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole per cents of a similarity rounded half to even, beside half up."""
+    cents = F.round(E.known("max_similarity_to_existing") * 1000) / 10
+    return table(spark, sf_dir, POOL).select("row_id", F.bround(cents).alias("half_even"), F.round(cents).alias("half_up"))
+
+
 def expr_p13_row_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = [E.known(c) for c in ("chi0v", "chi1v", "chi2v", "kappa1")]
     return table(spark, sf_dir, POOL).select("row_id", r6(E.row_mean(cols)).alias("mean"), r6(E.row_spread(cols)).alias("spread"))
@@ -156,6 +162,8 @@ SELECT row_id, n_violations, n_violations = lipinski_violations AS as_stated FRO
     "expr_p08_normalize": f"SELECT row_id, round({_higher('qed')}, 6) AS qed_norm, round(1 - ({_higher('AMES')}), 6) AS ames_norm, round({_close('tpsa', 90, 40)}, 6) AS tpsa_close FROM {_pool('qed', 'AMES', 'tpsa')}",
     "expr_p08_per_group": f"SELECT row_id, round({_higher('pIC50', 'PARTITION BY lab')}, 6) AS norm FROM raw_compounds WHERE lab IS NOT NULL AND pIC50 IS NOT NULL AND NOT pIC50::VARCHAR = 'nan'",
     "expr_p11_micromolar": f"SELECT row_id, round(power(10, 6 - pred_pIC50), 4) AS ic50_um FROM {_pool('pred_pIC50')}",
+    "expr_p26_half_even": f"""
+SELECT row_id, round_even(c, 0) AS half_even, round(c) AS half_up FROM (SELECT row_id, round(max_similarity_to_existing * 1000) / 10 AS c FROM {_pool('max_similarity_to_existing')})""",
     "expr_p13_row_consensus": f"""
 SELECT row_id, round(m, 6) AS mean, round(sqrt(({' + '.join(f'coalesce(({c} - m) * ({c} - m), 0)' for c in _CHI)}) / {_N}), 6) AS spread FROM (SELECT *, {_MEAN} AS m FROM {_pool(*_CHI)})""",
     "expr_p14_training_distance": f"""

@@ -186,6 +186,40 @@ def d05_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return primary.select("row_id", "place", F.lit("primary").alias("part")).unionByName(backup.select("row_id", "place", F.lit("backup").alias("part")))
 
 
+def k03_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written with a folder for each lab; a filter on the lab then reads that folder alone."""
+    raw = table(spark, sf_dir, "raw_compounds").select("row_id", "pIC50", F.coalesce("lab", F.lit("none")).alias("lab"))
+    path = f"{shared_folder(spark)}/by-lab-{uuid.uuid4().hex}"
+    raw.repartition("lab", F.pmod(F.xxhash64("row_id"), F.lit(8))).write.partitionBy("lab").parquet(path)
+    return E.without_nan(spark.read.parquet(path).where("lab IN ('lumia_hts', 'none')")).select("row_id", "lab", "pIC50")
+
+
+def a08_similarity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of the stated similarity to known compounds, by number of methods. The median is exact over four decimals."""
+    s = E.known("max_similarity_to_existing")
+    by = table(spark, sf_dir, POOL).groupBy("n_unique_methods")
+    return by.agg(F.count(s).alias("n"), r6(F.avg(s)).alias("mean"), r6(F.median(s)).alias("median"), F.min(s).alias("least"), F.max(s).alias("most"))
+
+
+def f26_best_of_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each parent's product of highest score, the smallest row of equals: an aggregate, however many products a parent has."""
+    pool = table(spark, sf_dir, POOL).select("row_id", E.key_of("primary_parent_id").alias("parent"), E.known("orthogonal_composite_score").alias("score"))
+    return first_by(pool.where("parent IS NOT NULL AND score IS NOT NULL"), ["parent"], F.struct(-F.col("score"), F.col("row_id")), ["row_id", "score"])
+
+
+def j02_feature_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors with what the pool knows of the same molecule beside them; the pool is one row per molecule before the join."""
+    known = table(spark, sf_dir, POOL).where("product_smiles IS NOT NULL").groupBy(F.col("product_smiles").alias("s")).agg(r6(F.avg(E.known("qed"))).alias("qed"), F.count(F.lit(1)).alias("n"))
+    left = table(spark, sf_dir, "final_model_feature_matrix").select("row_id", E.tidy("canonical_smiles").alias("s"), E.known("mw").alias("mw"))
+    return left.join(known, "s", "left").select("row_id", "mw", "qed", F.coalesce("n", F.lit(0)).cast("long").alias("n_in_pool"))
+
+
+def j18_of_measured_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products whose parent has a measured row (semi join)."""
+    measured = table(spark, sf_dir, "ranked_compounds").where("n_measured_rows > 0").select(E.key_of("representative_id").alias("k"))
+    return table(spark, sf_dir, POOL).select("row_id", E.key_of("primary_parent_id").alias("k")).join(measured, "k", "left_semi").select("row_id")
+
+
 def x01_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream: rows, sum and largest value of each six hours and type."""
     schema = table(spark, sf_dir, "events").schema
@@ -282,6 +316,18 @@ WITH RECURSIVE o AS MATERIALIZED ({_ORDERED}), {_greedy('g', 'o', 40, 2, 2)} SEL
 WITH RECURSIVE o AS MATERIALIZED ({_ORDERED}), {_greedy('g', 'o', 20, 2)},
   rest AS MATERIALIZED (SELECT * EXCLUDE (i), row_number() OVER (ORDER BY i) AS i FROM o WHERE NOT list_contains((SELECT ids FROM g), row_id)), {_greedy('h', 'rest', 20, 3)}
 SELECT unnest(ids) AS row_id, unnest(range(1, len(ids) + 1)) AS place, 'primary' AS part FROM g UNION ALL SELECT unnest(ids), unnest(range(1, len(ids) + 1)), 'backup' FROM h""",
+    "k03_partitioned": f"SELECT row_id, coalesce(lab, 'none') AS lab, {_NAN.format('pIC50')} AS pIC50 FROM raw_compounds WHERE lab = 'lumia_hts' OR lab IS NULL",
+    "a08_similarity_stats": f"""
+SELECT n_unique_methods, count(s) AS n, round(avg(s), 6) AS mean, round(median(s), 6) AS median, min(s) AS least, max(s) AS most
+FROM (SELECT n_unique_methods, {_NAN.format('max_similarity_to_existing')} AS s FROM lead_selection_relaxed_pool) GROUP BY 1""",
+    "f26_best_of_parent": f"""
+SELECT parent, row_id, score FROM (SELECT row_id, {_PARENT} AS parent, {_NAN.format('orthogonal_composite_score')} AS score FROM lead_selection_relaxed_pool)
+WHERE parent IS NOT NULL AND score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent ORDER BY score DESC, row_id) = 1""",
+    "j02_feature_union": f"""
+WITH p AS (SELECT product_smiles AS s, round(avg({_NAN.format('qed')}), 6) AS qed, count(*) AS n FROM lead_selection_relaxed_pool GROUP BY 1)
+SELECT row_id, {_NAN.format('mw')} AS mw, p.qed, coalesce(n, 0) AS n_in_pool FROM final_model_feature_matrix LEFT JOIN p ON s = {_CLEAN.replace('(id,', '(canonical_smiles,')}""",
+    "j18_of_measured_parents": f"""
+SELECT row_id FROM lead_selection_relaxed_pool WHERE {_PARENT} IN (SELECT {_KEY.format('representative_id')} FROM ranked_compounds WHERE n_measured_rows > 0)""",
     "x01_stream_windows": """
 SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n_rows, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1, 2""",
 }

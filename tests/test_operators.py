@@ -178,3 +178,33 @@ def test_transforms_and_levels(spark):
     assert got == {("x", 1, "CFCCl"), ("x", 2, "CClCF"), ("y", 1, "NClCCl"), ("y", 2, "CNlCCl"), ("y", 3, "CClNCl"), ("y", 4, "CClCNl")}
     reach = {(r.product, r.depth, r.root) for r in levels(spark.createDataFrame([("CC",), ("NC",)], "parent string"), [("y", "C", "N")], 3, 10).collect()}
     assert reach == {("CN", 1, "CC"), ("NN", 1, "NC")}
+
+
+def test_stored_and_released(spark):
+    from assayloom.shared import free_name, release, stored
+
+    release(spark)
+    df = stored(spark.range(10), "numbers")
+    path = df.inputFiles()[0]
+    assert df.count() == 10 and df.schema == spark.range(1).schema
+    assert release(spark) == 1 and release(spark) == 0
+    assert not __import__("os").path.exists(path.removeprefix("file://"))
+    assert free_name(spark.createDataFrame([(1, 2)], "a int, _A int"), "a") == "__a"
+
+
+def test_models_on_molecules_held_out(spark, tmp_path):
+    """Labels that follow from two descriptors are predicted for molecules that no model saw."""
+    from assayloom.plans.model_queries import m06_forest, m12_grouped_ridge, m14_consensus, m16_importances
+
+    rnd = np.random.default_rng(9)
+    x = pd.DataFrame(rnd.normal(size=(600, 17)), columns=E.DESCRIPTORS)
+    y = 5 + x["mw"] - 0.5 * x["logp"] + rnd.normal(size=600) * 0.1
+    x.loc[::50, "tpsa"] = np.nan
+    frame = x.assign(row_id=range(600), canonical_smiles=[f"C{i // 2}" for i in range(600)], pIC50=y)
+    spark.createDataFrame(frame).write.parquet(f"{tmp_path}/final_model_feature_matrix.parquet")
+    d = str(tmp_path)
+    assert min(r.r2 for r in m12_grouped_ridge(spark, d).where("alpha < 100").collect()) > 0.95
+    assert metrics(m06_forest(spark, d), "actual", "prediction").collect()[0].r2 > 0.6
+    both = m14_consensus(spark, d)
+    assert metrics(both, "actual", "mean").collect()[0].r2 > 0.8 and both.where("spread < 0").count() == 0
+    assert [r.descriptor for r in m16_importances(spark, d).limit(2).collect()] == ["mw", "logp"]
