@@ -186,7 +186,7 @@ def test_stored_and_released(spark):
     release(spark)
     df = stored(spark.range(10), "numbers")
     path = df.inputFiles()[0]
-    assert df.count() == 10 and df.schema == spark.range(1).schema
+    assert df.count() == 10 and df.dtypes == spark.range(1).dtypes
     assert release(spark) == 1 and release(spark) == 0
     assert not __import__("os").path.exists(path.removeprefix("file://"))
     assert free_name(spark.createDataFrame([(1, 2)], "a int, _A int"), "a") == "__a"
