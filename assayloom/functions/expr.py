@@ -17,6 +17,16 @@ def known(c: str | Column) -> Column:
     return F.nanvl(F.col(c) if isinstance(c, str) else c, F.lit(None).cast("double"))
 
 
+def at_least(c: str, limit: float) -> Column:
+    """c >= limit, which NaN does not pass although Spark takes it for the largest number; the comparison itself reaches the scan."""
+    return (F.col(c) >= limit) & ~F.isnan(c)
+
+
+def at_most(c: str, limit: float) -> Column:
+    """c <= limit; NaN is above every limit."""
+    return F.col(c) <= limit
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: known(c) for c, kind in df.dtypes if kind in ("double", "float")})
 

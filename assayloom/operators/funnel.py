@@ -29,5 +29,7 @@ def funnel_counts(df: DataFrame, stages: list[Stage], distinct: str) -> DataFram
 
 
 def survivors(df: DataFrame, stages: list[Stage]) -> DataFrame:
-    """Rows that pass all stages; Catalyst pushes what it can into the scan."""
-    return df.where(_passed(stages, len(stages) - 1))
+    """Rows that pass all stages. The predicates stay bare, so that Catalyst can push their comparisons into the scan."""
+    for _, predicate in stages:
+        df = df.where(predicate)
+    return df

@@ -82,23 +82,22 @@ def expr_p19_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row_id", r6("a").alias("admet_score"), r6("p").alias("property_score"), r6(total).alias("composite"))
 
 
-def stages(pool: DataFrame):
-    k = E.known
+def stages():
     return [
-        ("potency", (k("pred_pIC50") >= 4.6) & (k("descriptor_ad_distance") <= 4.5)), ("alerts", F.col("pains_brenk_alerts") == 0),
-        ("properties", (F.col("lipinski_violations") <= 1) & k("tpsa").between(40, 140) & k("mw").between(250, 550) & (k("rot") <= 10)),
-        ("admet", (k("AMES") <= 0.6) & (k("hERG") <= 0.7) & (k("HIA_Hou") >= 0.3)), ("novelty", k("max_similarity_to_existing") <= 0.85),
+        ("potency", E.at_least("pred_pIC50", 4.6) & E.at_most("descriptor_ad_distance", 4.5)), ("alerts", F.col("pains_brenk_alerts") == 0),
+        ("properties", (F.col("lipinski_violations") <= 1) & F.col("tpsa").between(40, 140) & F.col("mw").between(250, 550) & E.at_most("rot", 10)),
+        ("admet", E.at_most("AMES", 0.6) & E.at_most("hERG", 0.7) & E.at_least("HIA_Hou", 0.3)), ("novelty", E.at_most("max_similarity_to_existing", 0.85)),
     ]
 
 
 def f03_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = table(spark, sf_dir, POOL)
-    return funnel_counts(pool, stages(pool), "product_smiles")
+    return funnel_counts(pool, stages(), "product_smiles")
 
 
 def f06_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = table(spark, sf_dir, POOL)
-    return survivors(pool, stages(pool)).select("row_id", "product_smiles")
+    return survivors(pool, stages()).select("row_id", "product_smiles")
 
 
 def f21_overlapping_pools(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,14 @@ def test_nan_never_passes_and_counts_fall(spark):
     assert [tuple(r) for r in funnel_counts(df, stages, "p").orderBy("ord").collect()] == [(0, "start", 4), (1, "a", 2), (2, "b", 1)]
     assert [r.p for r in survivors(df, stages).collect()] == [4]
     assert [r.remaining for r in funnel_counts(df.limit(0), stages, "p").collect()] == [0, 0, 0]
+    assert [r.p for r in df.where(E.at_least("x", 2)).collect()] == [1, 4] and [r.p for r in df.where(E.at_most("x", 6)).collect()] == [1, 4]
+
+
+def test_gates_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 5.0, 1.0), (2, 1.0, 9.0)], "p long, x double, y double").write.parquet(str(tmp_path / "t"))
+    kept = survivors(spark.read.parquet(str(tmp_path / "t")), [("a", E.at_least("x", 2)), ("b", E.at_most("y", 3))]).select("p")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(x,2.0)" in plan and "LessThanOrEqual(y,3.0)" in plan
 
 
 def test_expressions(spark):
