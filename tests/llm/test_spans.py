@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from assayloom.llm import spans as S
@@ -69,3 +70,15 @@ def test_empty(spark):
     assert shared_parts(df.where("doc_id = 103"), "doc_id", span=30).count() == 0
     with pytest.raises(ValueError):
         pairs_sharing(df, "doc_id", span=5)
+
+
+def test_suffixes_lie_within_their_text():
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choices("abcd", k=rnd.randint(30, 45))) for _ in range(3000)]
+    frame = pd.DataFrame({"doc_id": range(3000), "text": texts})
+    out = pd.concat(S._suffixes(30, 24)(iter([frame])))
+    sizes = np.array([len(t) for t in texts])
+    assert len(out) > 3000 and out["pos"].min() >= 0 and (out["pos"] + 24 <= sizes[out["doc_id"]]).all()
+    same = {}
+    for key, doc, pos in zip(out["key"], out["doc_id"], out["pos"]):
+        assert same.setdefault(key, texts[doc][pos : pos + 24]) == texts[doc][pos : pos + 24]
