@@ -75,11 +75,11 @@ def varied_subset(records: DataFrame, wanted: int, step: float = STEP, least: fl
 
     The threshold starts at the largest gain of a single record and falls by `step` a round; below `least` times the start it is 0, so the
     last round fills up. A record that was passed over at a threshold stays in for the next ones. Records without features gain nothing
-    and are selected last. Ties go by order in the partition. Empty input gives no rows. `wanted` rows and the vector of masses reach the
+    and are selected last. Ties go by rec_id within a partition, so that runs agree. Empty input gives no rows. `wanted` rows and the vector of masses reach the
     driver, nothing else does.
     """
     spark = records.sparkSession
-    kept = stored(records.select("rec_id", "slots", "weights").where(F.size("slots") > 0).repartition("rec_id"), "features")
+    kept = stored(records.select("rec_id", "slots", "weights").where(F.size("slots") > 0).repartition("rec_id").sortWithinPartitions("rec_id"), "features")
     top = F.aggregate("weights", F.lit(0.0), lambda a, x: a + F.sqrt(x.cast("double")))
     start = kept.agg(F.max(top)).collect()[0][0]
     mass, selected = np.zeros(SLOTS), []
@@ -91,7 +91,7 @@ def varied_subset(records: DataFrame, wanted: int, step: float = STEP, least: fl
         passing = _round(shared, threshold, left)
         found = rest.mapInPandas(passing, RECORD)
         for tasks in (SHARDS, 1):
-            found = found.repartition(tasks, "rec_id").mapInPandas(passing, RECORD)
+            found = found.repartition(tasks, "rec_id").sortWithinPartitions("rec_id").mapInPandas(passing, RECORD)
         found = found.collect()  # at most `wanted` rows
         shared.destroy()
         mass = mass.copy()
