@@ -21,6 +21,8 @@ from assayloom.llm.characters import BASE, Rolling, chunks, code_points, mixed,
 
 #: Items whose MinHash values are more than this are matched by a join instead of a broadcast (8 bytes each).
 BROADCAST_KEYS = 4_000_000
+#: Passages of items whose words take more characters than this are joined by a shuffle instead of a broadcast.
+BROADCAST_CHARS = 64_000_000
 
 
 def _windows(texts: list[str], shingle: int, passage: int):
@@ -80,6 +82,7 @@ def leaks(documents: DataFrame, doc_id: str, items: DataFrame, item_id: str, tex
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     of_items = tests.mapInPandas(_passages("item_id", "text", shingle, passage, None), "item_id long, minhash long, words string").persist()
+    size = of_items.agg(F.coalesce(F.sum(F.length("words") + 32), F.lit(0)).alias("n")).collect()[0].n
     keys = of_items.select("minhash").distinct()
     some = keys.limit(BROADCAST_KEYS + 1).toPandas()["minhash"].to_numpy()
     schema = "doc_id long, minhash long, words string"
@@ -90,5 +93,6 @@ def leaks(documents: DataFrame, doc_id: str, items: DataFrame, item_id: str, tex
         candidates = docs.mapInPandas(_passages("doc_id", "text", shingle, passage, shared), schema)
     else:
         candidates = docs.mapInPandas(_passages("doc_id", "text", shingle, passage, None), schema)
-    exact = candidates.select("doc_id", "minhash", "words").join(of_items, ["minhash", "words"])
+    passages = F.broadcast(of_items) if size <= BROADCAST_CHARS else of_items  # so that a passage in very many documents is no hot key
+    exact = candidates.select("doc_id", "minhash", "words").join(passages, ["minhash", "words"])
     return exact.groupBy("doc_id", "item_id").agg(F.count_distinct("words").alias("n_passages"))

@@ -51,6 +51,7 @@ def test_against_brute_force(spark):
 
 def test_join_path(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_KEYS", 3)
+    monkeypatch.setattr(L, "BROADCAST_CHARS", 3)
     check(spark, 5, 13)
 
 
