@@ -5,8 +5,9 @@ the two share `depth` tokens among the first n - ceil(t n) + depth of each (fewe
 combination of `depth` of those tokens is a partition of the inverted lists: only records that hold the combination are in its lists.
 In a partition the records come by size, each one probing the lists of those before it: the longest lists are set aside, the others are
 merged with a heap that skips ahead whatever cannot reach the rest of the required count, and candidates are looked up in the long lists
-by binary search. A pair is emitted in the first partition that both are in. Partitions beyond BLOCK records are split into pairs of
-blocks, so that no task holds more than 2 BLOCK records of one partition at once.
+by binary search. A pair is emitted in the first partition that both are in. A partition beyond BLOCK records is split by one more shared
+token, again and again while the overlap asked for allows it; what cannot be split so is compared in pairs of blocks, so that no task holds
+more than 2 BLOCK records of one partition at once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from heapq import heapify, heappop, heappush
 from itertools import combinations
 
@@ -26,6 +28,9 @@ from assayloom.operators.skew import salted_lookup, whole_groups
 from assayloom.shared import stored
 
 BLOCK = 2_000
+#: Shared tokens by which a partition is split at most; beyond, blocks do.
+DEEPEST = 8
+JOINT = "\x1f"
 #: Occurrences that the heap must find; the rest of the required overlap is looked up in the longest lists.
 IN_SHORT_LISTS = 5
 
@@ -101,27 +106,31 @@ def probe(tokens: list, index: dict, sizes: list[int], t: Fraction) -> Iterator[
             yield place, count
 
 
-def _partition(records: list[tuple], key: tuple, t: Fraction, depth: int) -> Iterator[tuple]:
-    """Pairs of one partition. records: (class, side, block, tokens) ; side bits: 1 first table, 2 second."""
+def _partition(records: list[tuple], key: tuple, t: Fraction) -> Iterator[tuple]:
+    """Pairs of one partition. records: (class, side, block, tokens); side bits: 1 first table, 2 second. key: (tokens, low, high, split):
+    a partition that was split, or is of few tokens, has only the pairs of which no more overlap is asked."""
+    text, low, high, last = key
+    shared = text.count(JOINT) + 1
     records.sort(key=lambda r: (len(r[3]), r[0]))
     index, sizes = defaultdict(list), []
     for place, (own, side, block, tokens) in enumerate(records):
-        for other, overlap in probe(tokens, index, sizes, t):
-            partner = records[other]
-            if key[1] != key[2] and partner[2] == block or not (side & 1 and partner[1] & 2 or side & 2 and partner[1] & 1):
-                continue
-            shared = min(depth, required(len(tokens), t))
-            theirs = set(prefix(partner[3], t, shared))
-            first = [x for x in prefix(tokens, t, shared) if x in theirs][:shared]
-            if hash_key(first) == key[0]:
-                yield (*((own, partner[0]) if own < partner[0] else (partner[0], own)), overlap, len(tokens) + len(partner[3]) - overlap)
+        need = required(len(tokens), t)
+        if need == shared if last else need >= shared:
+            for other, overlap in probe(tokens, index, sizes, t):
+                partner = records[other]
+                if low != high and partner[2] == block or not (side & 1 and partner[1] & 2 or side & 2 and partner[1] & 1):
+                    continue
+                theirs = set(prefix(partner[3], t, shared))
+                first = [x for x in prefix(tokens, t, shared) if x in theirs][:shared]
+                if hash_key(first) == text:
+                    yield (*((own, partner[0]) if own < partner[0] else (partner[0], own)), overlap, len(tokens) + len(partner[3]) - overlap)
         for x in tokens:
             index[x].append(place)
         sizes.append(len(tokens))
 
 
 def hash_key(tokens) -> str:
-    return "\x1f".join(map(str, tokens))
+    return JOINT.join(map(str, tokens))
 
 
 def _keys(t: Fraction, depth: int):
@@ -137,15 +146,36 @@ def _keys(t: Fraction, depth: int):
     return run
 
 
-def _merge(t: Fraction, depth: int):
+def _split(t: Fraction):
+    """mapInPandas over (class, key, tokens) of too large partitions: their keys with one more token of the record's longer prefix. Records
+    of which no more overlap may be asked stay in the partition as well."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for own, key, tokens in zip(batch["class"].tolist(), batch["key"].tolist(), batch["tokens"].tolist()):
+                shared = key.count(JOINT) + 1
+                if required(len(tokens), t) <= shared:
+                    out.append((own, key, True))
+                longer = list(map(str, prefix(list(tokens), t, shared + 1)))
+                after = longer.index(key.rsplit(JOINT, 1)[-1]) + 1
+                out += [(own, key + JOINT + x, False) for x in longer[after:]]
+            yield pd.DataFrame(out, columns=["class", "key", "split"])
+
+    return run
+
+
+def _merge(t: Fraction):
+    keys = ["key", "split", "low", "high"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, ["key", "low", "high"], 5_000):
+        for frame in whole_groups(batches, keys, 5_000):
             out = []
             records = list(zip(frame["class"].tolist(), frame["side"].tolist(), frame["block"].tolist(), map(list, frame["tokens"].tolist())))
-            ends = frame.index[(frame[["key", "low", "high"]] != frame[["key", "low", "high"]].shift(-1)).any(axis=1)].tolist()
+            ends = frame.index[(frame[keys] != frame[keys].shift(-1)).any(axis=1)].tolist()
             for a, b in zip([0, *[e + 1 for e in ends]], [e + 1 for e in ends]):
-                key = (frame["key"].iat[a], frame["low"].iat[a], frame["high"].iat[a])
-                out += _partition(records[a:b], key, t, depth)
+                key = (frame["key"].iat[a], frame["low"].iat[a], frame["high"].iat[a], bool(frame["split"].iat[a]))
+                out += _partition(records[a:b], key, t)
             if out:
                 yield pd.DataFrame(out, columns=["class_a", "class_b", "overlap", "either"])
 
@@ -177,13 +207,24 @@ def similar_classes(sets: DataFrame, threshold: float, other: DataFrame | None =
     ordered = salted_lookup(exploded, frequent, "token", "class").groupBy("class").agg(by_rarity.alias("tokens"))  # of one record
     ordered = stored(ordered.join(classes.select("class", "side"), "class"), "ordered")
     keys = stored(ordered.select("class", "tokens").mapInPandas(_keys(t, depth), "class long, key string"), "keys")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-    placed = salted_lookup(keys, sizes, "key", "class").withColumn("blocks", F.ceil(F.col("n_rows") / BLOCK).cast("int"))
+    keys = keys.withColumn("split", F.size(F.split("key", JOINT)) < depth)  # these have only pairs of which no more overlap is asked
+    placed, longest = [], depth
+    while True:
+        sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+        own = stored(salted_lookup(keys, sizes, "key", "class"), "placed")
+        large = own.where((F.col("n_rows") > BLOCK) & ~F.col("split"))
+        if longest == DEEPEST or large.isEmpty():
+            placed.append(own)
+            break
+        placed.append(own.where((F.col("n_rows") <= BLOCK) | F.col("split")))
+        parts = large.select("class", "key").join(ordered, "class").select("class", "key", "tokens").mapInPandas(_split(t), "class long, key string, split boolean")
+        keys, longest = stored(parts, "keys"), longest + 1
+    placed = reduce(DataFrame.unionByName, placed).withColumn("blocks", F.ceil(F.col("n_rows") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = placed.select("class", "key", "block", F.least("_b", "block").alias("low"), F.greatest("_b", "block").alias("high"))
-    tasks = tasks.join(ordered, "class").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    pairs = tasks.mapInPandas(_merge(t, depth), "class_a long, class_b long, overlap long, either long")
+    tasks = placed.select("class", "key", "split", "block", F.least("_b", "block").alias("low"), F.greatest("_b", "block").alias("high"))
+    tasks = tasks.join(ordered, "class").repartition("key", "split", "low", "high").sortWithinPartitions("key", "split", "low", "high")
+    pairs = tasks.mapInPandas(_merge(t), "class_a long, class_b long, overlap long, either long")
     return pairs, members
 
 
