@@ -59,3 +59,10 @@ def test_windows_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     out = drain(spark, windowed_counts(stream, "ts", ["kind"], "v", "30 minutes", "10 minutes"), "test")
     assert out.agg(F.sum("n_rows"), F.sum("total"), F.max("largest"), F.count("*")).collect()[0] == (100, 4950.0, 99.0, 8)
+
+
+def test_order_of_files_does_not_matter(spark, tmp_path):
+    for name, text in (("b.smi", "CC\n"), ("a.smi", "\nCCC\r\nN\n")):
+        (tmp_path / name).write_text(text)
+    got = {(r.file.rsplit("/", 1)[1], r.name, r.smiles) for r in R.read_smiles_list(spark, str(tmp_path)).collect()}
+    assert got == {("b.smi", "cmpd_1", "CC"), ("a.smi", "cmpd_2", "CCC"), ("a.smi", "cmpd_3", "N")}
