@@ -79,22 +79,25 @@ def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
                 heappush(heap, (lists[i][k] << bits) | i)
 
 
-def probe(tokens: list, index: dict, sizes: list[int], t: Fraction) -> Iterator[tuple[int, int]]:
-    """(place, overlap) of the indexed records, none of them larger, that are similar to a record."""
-    n = len(tokens)
-    need = required(n, t)
-    lists = sorted((x for x in map(index.get, tokens) if x), key=len)
+def probe(n: int, later: list, shared: int, index: dict, sizes: list[int], t: Fraction) -> Iterator[tuple[int, int]]:
+    """(place, overlap) of the indexed records, none of them larger, that are similar to a record of n tokens. All records share `shared`
+    tokens; `later` are the record's tokens that come after those, and the lists are of such tokens."""
+    need = required(n, t) - shared
+    lists = sorted((x for x in map(index.get, later) if x), key=len)
     if len(lists) < need:
         return
     in_short = min(need, IN_SHORT_LISTS)
     aside = need - in_short
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    for place, count in merge_skip(short, in_short):
+    if need > 0:
+        found = merge_skip(short, in_short)
+    else:  # what is shared already is enough; every record is a candidate
+        long, found = lists, ((place, 0) for place in range(len(sizes)))
+    for place, count in found:
         size = sizes[place]
-        # overlap / (n + size - overlap) >= t
-        overlap = -(-(n + size) * t.numerator // (t.numerator + t.denominator))
-        if size < need:
+        if size < need + shared:
             continue
+        overlap = -(-(n + size) * t.numerator // (t.numerator + t.denominator)) - shared  # of the later tokens
         left = len(long)
         for x in reversed(long):
             if count + left < overlap:
@@ -103,20 +106,24 @@ def probe(tokens: list, index: dict, sizes: list[int], t: Fraction) -> Iterator[
             count += k < len(x) and x[k] == place
             left -= 1
         if count >= overlap:
-            yield place, count
+            yield place, count + shared
 
 
 def _partition(records: list[tuple], key: tuple, t: Fraction) -> Iterator[tuple]:
     """Pairs of one partition. records: (class, side, block, tokens); side bits: 1 first table, 2 second. key: (tokens, low, high, split):
-    a partition that was split, or is of few tokens, has only the pairs of which no more overlap is asked."""
+    a partition that was split, or is of few tokens, has only the pairs of which no more overlap is asked.
+
+    A pair belongs to the partition of its first shared tokens; all others it shares come after these, so only they are in the lists.
+    """
     text, low, high, last = key
-    shared = text.count(JOINT) + 1
+    shared, end = text.count(JOINT) + 1, text.rsplit(JOINT, 1)[-1]
     records.sort(key=lambda r: (len(r[3]), r[0]))
     index, sizes = defaultdict(list), []
     for place, (own, side, block, tokens) in enumerate(records):
+        later = tokens[next(i for i, x in enumerate(tokens, 1) if str(x) == end) :]
         need = required(len(tokens), t)
         if need == shared if last else need >= shared:
-            for other, overlap in probe(tokens, index, sizes, t):
+            for other, overlap in probe(len(tokens), later, shared, index, sizes, t):
                 partner = records[other]
                 if low != high and partner[2] == block or not (side & 1 and partner[1] & 2 or side & 2 and partner[1] & 1):
                     continue
@@ -124,7 +131,7 @@ def _partition(records: list[tuple], key: tuple, t: Fraction) -> Iterator[tuple]
                 first = [x for x in prefix(tokens, t, shared) if x in theirs][:shared]
                 if hash_key(first) == text:
                     yield (*((own, partner[0]) if own < partner[0] else (partner[0], own)), overlap, len(tokens) + len(partner[3]) - overlap)
-        for x in tokens:
+        for x in later:
             index[x].append(place)
         sizes.append(len(tokens))
 
