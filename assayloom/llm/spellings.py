@@ -111,7 +111,7 @@ def encode(df: DataFrame, row_id: str, value: str, parts: Callable[[], Callable[
 def copies(df: DataFrame, row_id: str, value: str, **how) -> DataFrame:
     """(first_row_id, row_id) of each row that copies an earlier one; unaltered repeats count. Other columns of df are not read."""
     rows = df.select(F.col(row_id).alias("row_id"), F.col(value).alias("value"))
-    shared = encode(rows, "row_id", "value", **how).where(F.col("copies") > 1).select("value", "n_rows", "first_row_id")
+    shared = stored(encode(rows, "row_id", "value", **how).where(F.col("copies") > 1).select("value", "n_rows", "first_row_id"), "copies")  # read thrice
     return salted_lookup(rows, shared, "value", "row_id").where(F.col("row_id") != F.col("first_row_id")).select("first_row_id", "row_id")
 
 
