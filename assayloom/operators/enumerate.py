@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.operators.ranking import first_by
+from assayloom.shared import stored
 
 Transform = tuple[str, str, str]
 
@@ -32,16 +33,19 @@ def first_products(products: DataFrame) -> DataFrame:
     return first_by(products, ["label", "product"], F.struct("parent", "site"), ["parent", "site"])
 
 
-def levels(parents: DataFrame, transforms: list[Transform], depth: int, longest: int) -> DataFrame:
+def levels(parents: DataFrame, transforms: list[Transform], depth: int, longest: int | None = None) -> DataFrame:
     """(product, depth, root): what up to `depth` transforms make of parents (parent), each product once at its first depth with its smallest
-    root. Products longer than `longest` are left out. Every level is aggregated and checked against the levels before it by an anti join,
-    level by level, so what is reached does not depend on the order of rows."""
-    seen = parents.select(F.col("parent").alias("product"), F.lit(0).cast("long").alias("depth"), F.col("parent").alias("root"))
+    root. Only where `longest` is given, longer products are left out, and what lies beyond them. Every level is aggregated, checked against
+    the levels before it by an anti join and stored, so what is reached does not depend on the order of rows."""
+    seen = stored(parents.select(F.col("parent").alias("product"), F.lit(0).cast("long").alias("depth"), F.col("parent").alias("root")), "level")
     front, out = seen, [seen]
     for d in range(1, depth + 1):
         made = apply_transforms(front.select(F.col("product").alias("parent")), transforms).select("parent", "product").distinct()
-        made = made.join(front.select(F.col("product").alias("parent"), "root"), "parent").where(F.length("product") <= longest)
+        made = made.join(front.select(F.col("product").alias("parent"), "root"), "parent")
+        if longest is not None:
+            made = made.where(F.length("product") <= longest)
         made = made.groupBy("product").agg(F.min("root").alias("root"))
         front = made.join(reduce(DataFrame.unionByName, out).select("product"), "product", "left_anti").select("product", F.lit(d).cast("long").alias("depth"), "root")
+        front = stored(front, "level")  # read by every level behind it
         out.append(front)
     return reduce(DataFrame.unionByName, out[1:])
