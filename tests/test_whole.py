@@ -2,7 +2,11 @@
 
 import random
 
-from assayloom.plans.model_queries import TRANSFORMS, e16_levels_all
+import numpy as np
+
+from assayloom.functions import expr as E
+from assayloom.plans import model_queries
+from assayloom.plans.model_queries import TRANSFORMS, _labelled, _prepared, e16_levels_all, m01_loo_mean_molecule, m07_memoriser_molecule
 
 
 def written(spark, tmp_path, name, rows, schema):
@@ -35,3 +39,35 @@ def test_levels_of_all_molecules_at_any_length(spark, tmp_path):
     got = [tuple(r) for r in e16_levels_all(spark, d).select("product", "depth", "root").collect()]
     want = reached({s.strip() for s in smiles if s and s.strip()}, 3)
     assert sorted(got) == sorted(want) and {x[1] for x in want} == {1, 2, 3} and any(len(x[0]) > 120 for x in want)
+
+
+def test_spellings_of_a_molecule_are_one(spark, tmp_path, monkeypatch):
+    rnd = np.random.default_rng(2)
+    spelled = ["CCl.OBr{0}", " OBR{0}.CCL", '"OBr{0}.CCl"', "CCl\u00b7Obr{0}", "CCL.OBr{0};", "C Cl.O\u200bBr{0}"]
+    labels, rows = {}, []
+    for i in range(240):
+        molecule, y = i % 40, round(float(rnd.random()) * 9, 1)
+        labels.setdefault(molecule, []).append(y)
+        rows.append((i, spelled[i // 40].format("N" * molecule), y, *map(float, rnd.random(17))))
+    rows += [(900, None, 5.0, *[1.0] * 17), (901, " ", 5.0, *[1.0] * 17), (902, "CCl", None, *[1.0] * 17)]
+    schema = "row_id long, canonical_smiles string, pIC50 double, " + ", ".join(f"{c} double" for c in E.DESCRIPTORS)
+    d = written(spark, tmp_path, "final_model_feature_matrix", rows, schema)
+    assert _labelled(spark, d).count() == 240
+    got = sorted((r.molecule, r.pic50, r.n_same, r.others_mean) for r in m01_loo_mean_molecule(spark, d).collect())
+    want = {(".".join(sorted(["CCl", "OBr" + "N" * m])), y, ys.count(y), (sum(ys) - y) / (len(ys) - 1)) for m, ys in labels.items() for y in ys}
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], atol=1e-6)
+    y, p = (np.array(x) for x in zip(*[(y, np.mean(ys)) for ys in labels.values() for y in ys]))
+    want = 240, abs(y - p).mean(), np.sqrt(((y - p) ** 2).mean()), 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert np.allclose(tuple(m07_memoriser_molecule(spark, d).collect()[0]), want, atol=1e-6)
+    held = _prepared(spark, d).select("row_id", "held").toPandas()
+    assert held.groupby(held["row_id"] % 40)["held"].nunique().max() == 1 and held["held"].nunique() == 2
+    folds = []
+
+    def spied(*args, f=model_queries.grouped_ridge):
+        folds.append(f(*args))
+        return folds[0]
+
+    monkeypatch.setattr(model_queries, "grouped_ridge", spied)
+    model_queries.m12_grouped_ridge(spark, d)
+    folds = folds[0].toPandas()
+    assert folds.groupby(folds["row_id"] % 40)["fold"].nunique().max() == 1 and folds["fold"].nunique() > 2
