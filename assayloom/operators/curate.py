@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.expr import known
 
+#: Packed fields of a product's rows, and the names of their counts.
+LINEAGE = {"methods": "n_methods", "parent_ids": "n_parents", "transforms": "n_transforms"}
+
 
 def consolidate(df: DataFrame, key: Column, value: str, code: str, row_id: str) -> DataFrame:
     """One row per key: the median of its measured rows if there are any, else of all; where it came from, conflicts and counts.
@@ -29,7 +32,8 @@ def consolidate(df: DataFrame, key: Column, value: str, code: str, row_id: str)
 
 
 def lineage(values: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """One row per key: its first row and parent, and what its packed fields hold together.
+    """One row per key: its first row and parent, and what each of its packed fields (LINEAGE) holds: the distinct values, sorted and joined,
+    and how many there are (null and 0 where there are none).
 
     rows: (row_id, key, parent, is_original); values: (row_id, field_name, value) as unpacked. Values are made distinct per key before
     they are joined, so a cell is as long as the number of different values, not of rows.
@@ -39,8 +43,6 @@ def lineage(values: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     )
     distinct = values.join(rows.select("row_id", key), "row_id").select(key, "field_name", "value").distinct()
     joined = distinct.groupBy(key, "field_name").agg(F.array_join(F.sort_array(F.collect_list("value")), ";").alias("joined"), F.count(F.lit(1)).alias("n"))
-    wide = joined.groupBy(key).pivot("field_name", ["methods", "parent_ids"]).agg(F.first("joined").alias("joined"), F.first("n").alias("n"))
-    return first.join(wide, key, "left").select(
-        key, F.col("x.row_id").alias("first_row"), F.col("x.parent").alias("first_parent"), "n_rows", "is_original",
-        F.col("methods_joined").alias("methods"), F.coalesce("methods_n", F.lit(0)).cast("long").alias("n_methods"), F.coalesce("parent_ids_n", F.lit(0)).cast("long").alias("n_parents"),
-    )
+    wide = joined.groupBy(key).pivot("field_name", list(LINEAGE)).agg(F.first("joined").alias("joined"), F.first("n").alias("n"))
+    cells = [c for f, n in LINEAGE.items() for c in (F.col(f"{f}_joined").alias(f), F.coalesce(f"{f}_n", F.lit(0)).cast("long").alias(n))]
+    return first.join(wide, key, "left").select(key, F.col("x.row_id").alias("first_row"), F.col("x.parent").alias("first_parent"), "n_rows", "is_original", *cells)

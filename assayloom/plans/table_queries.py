@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions import expr as E
-from assayloom.operators.curate import consolidate, lineage
+from assayloom.operators.curate import LINEAGE, consolidate, lineage
 from assayloom.operators.packed import unpack
 from assayloom.operators.portfolio import greedy_portfolio
 from assayloom.operators.ranking import capped, first_by, ranked
@@ -37,9 +37,10 @@ def a01_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a02_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each product's first row and parent, and the parents, methods and transforms of all its rows: distinct, sorted, joined and counted."""
     pool = table(spark, sf_dir, POOL).where("product_smiles IS NOT NULL")
     rows = pool.select("row_id", "product_smiles", F.col("primary_parent_id").alias("parent"), F.col("is_original_positive").alias("is_original"))
-    return lineage(unpack(pool, "row_id", ["methods"]), rows, "product_smiles").drop("n_parents", "methods")
+    return lineage(unpack(pool, "row_id", list(LINEAGE)), rows, "product_smiles")
 
 
 def a03_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
