@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.functions.expr import known
 from assayloom.shared import stored
 
 
@@ -32,24 +33,34 @@ def loo_means(df: DataFrame, key: Column, value: str) -> DataFrame:
     return counts.join(sums, "key").select("key", "value", "n_same", F.try_divide(F.col("_s") - F.col("value"), F.col("_n") - 1).alias("others_mean"))
 
 
-def gram(df: DataFrame, fold: str, features: list[str], target: str) -> dict[int, np.ndarray]:
-    """Z'Z with Z = (1, features, target) of each fold, in one pass: a partition returns one small matrix per fold."""
+def gram(df: DataFrame, fold: str, features: list[str], target: str, fills: dict[int, list[float]]) -> dict[int, np.ndarray]:
+    """Z'Z with Z = (1, features, target) of the rows outside each fold, in one pass: a partition returns one small matrix per fold. What is
+    unknown is filled with that fold's fills, so a row with an unknown feature counts anew for each fold."""
     size = len(features) + 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        inside: dict[int, np.ndarray] = {}
+        out = {f: np.zeros((size, size)) for f in fills}
         for batch in batches:
             z = np.column_stack((np.ones(len(batch)), batch[[*features, target]].to_numpy(np.float64)))
-            for f, at in batch.groupby("fold").indices.items():
-                sums[f] = sums.get(f, 0) + z[at].T @ z[at]
-        yield pd.DataFrame({"fold": list(sums), "m": [m.ravel() for m in sums.values()]})
+            folds, gaps = batch["fold"].to_numpy(), np.isnan(z).any(axis=1)
+            for f in np.unique(folds[~gaps]).tolist():
+                x = z[~gaps & (folds == f)]
+                inside[f] = inside.get(f, 0) + x.T @ x
+            for f, fill in fills.items():
+                x = z[gaps & (folds != f)]
+                x = np.where(np.isnan(x), np.array([1.0, *fill, 0.0]), x)
+                out[f] += x.T @ x
+        for f in fills:
+            out[f] += sum((m for g, m in inside.items() if g != f), np.zeros((size, size)))
+        yield pd.DataFrame({"fold": list(out), "m": [m.ravel() for m in out.values()]})
 
     parts = df.select(F.col(fold).cast("int").alias("fold"), *features, target).mapInPandas(run, "fold int, m array<double>")
     cells = parts.select("fold", F.posexplode("m").alias("i", "x")).groupBy("fold", "i").agg(F.sum("x").alias("x")).collect()  # folds x size ** 2 rows
-    out: dict[int, np.ndarray] = {}
+    sums = {f: np.zeros(size * size) for f in fills}
     for r in cells:
-        out.setdefault(r.fold, np.zeros(size * size))[r.i] = r.x
-    return {f: m.reshape(size, size) for f, m in out.items()}
+        sums[r.fold][r.i] = r.x
+    return {f: m.reshape(size, size) for f, m in sums.items()}
 
 
 def ridge(z: np.ndarray, alpha: float) -> np.ndarray:
@@ -65,15 +76,19 @@ def ridge(z: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def grouped_ridge(df: DataFrame, group: Column, features: list[str], target: str, alphas: list[float], folds: int = 10) -> DataFrame:
-    """df (complete features and target) with alpha, fold and prediction, each fold predicted by the model of the others.
+    """df's rows with a target, with alpha, fold and prediction, each fold predicted by the model of the others.
 
-    A fold is a hash of the group, so that duplicates of a molecule never meet across folds. All models follow from one Z'Z per fold.
+    A fold is a hash of the group, so that duplicates of a molecule never meet across folds. Unknown features (null or NaN) are filled with
+    the median over the rows that the model is fitted to, 0 where none is known; so every row with a target is predicted. Medians are those of
+    percentile_approx (1 / 10,000 of the rows). All models follow from one pass for the medians and one for Z'Z.
     """
-    rows = stored(df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")), "folds")  # it is read twice
-    sums = gram(rows, "fold", features, target)
-    total = sum(sums.values(), np.zeros((len(features) + 2,) * 2))
-    models = [(f, a, ridge(total - z, a).tolist()) for f, z in sums.items() for a in alphas if (total - z)[0, 0] > 0]
+    rows = df.withColumns({c: known(c) for c in [*features, target]}).where(F.col(target).isNotNull())
+    rows = stored(rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")), "folds")  # it is read thrice
+    others = rows.select("fold", *features).withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("_model <> fold")
+    medians = others.groupBy("_model").agg(*[F.percentile_approx(c, 0.5).alias(c) for c in features]).collect()  # one row per fold
+    fills = {r["_model"]: [0.0 if r[c] is None else r[c] for c in features] for r in medians}
+    models = [(f, a, ridge(z, a).tolist(), fills[f]) for f, z in gram(rows, "fold", features, target, fills).items() for a in alphas]
     spark = df.sparkSession
-    table = spark.createDataFrame(models, "fold int, alpha double, model array<double>")  # folds x alphas rows
-    x = sum((F.col("model")[i + 1] * F.col(c) for i, c in enumerate(features)), F.col("model")[0])
-    return rows.join(F.broadcast(table), "fold").withColumn("prediction", x).drop("model")
+    table = spark.createDataFrame(models, "fold int, alpha double, _weights array<double>, _fills array<double>")  # folds x alphas rows
+    x = sum((F.col("_weights")[i + 1] * F.coalesce(F.col(c), F.col("_fills")[i]) for i, c in enumerate(features)), F.col("_weights")[0])
+    return rows.join(F.broadcast(table), "fold").withColumn("prediction", x).drop("_weights", "_fills")

@@ -126,8 +126,9 @@ def m10_tanimoto_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m12_grouped_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge regression of the label on the 17 descriptors, ten folds of whole molecules: error of each penalty."""
-    rows = _labelled(spark, sf_dir, *E.DESCRIPTORS).dropna()
+    """Ridge regression of the label on the 17 descriptors, ten folds of whole molecules: error of each penalty over all rows with a label and a molecule.
+    Unknown descriptors are filled with the medians of the folds that a model is fitted to."""
+    rows = _labelled(spark, sf_dir, *E.DESCRIPTORS)
     return metrics(grouped_ridge(rows, F.col("molecule"), E.DESCRIPTORS, "pIC50", [0.1, 10.0, 1000.0]), "pIC50", "prediction", ["alpha"])
 
 
