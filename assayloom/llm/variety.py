@@ -4,8 +4,8 @@ A record has weighted features; the value of a subset is the sum over features o
 further record of a large group adds less. Records are added in rounds of a descending threshold. In a round every partition passes over
 its records that are left, with the masses so far, and adds those whose marginal gain reaches the threshold, counting in what it added
 itself; the additions of all partitions are merged by passing over them the same way, first in shards, then in one task, until the wanted
-number is reached. Only the features of what a round selects travel: features are hashed into a vector of fixed length, the one thing that
-is broadcast, and a partition returns at most as many records as are still wanted.
+number is reached. Only features of selected records have mass: their 64-bit hashes, sorted, and their masses are the one thing that is
+broadcast, at most `wanted` times the features of a record, and a partition returns at most as many records as are still wanted.
 """
 
 from __future__ import annotations
@@ -19,26 +19,62 @@ from pyspark.sql import functions as F
 
 from assayloom.shared import stored
 
-#: Length of the vector of feature masses (0.5 MB); features of one hash share their mass.
+#: Length of a vector of masses that `gain` can take where features are small numbers.
 SLOTS = 1 << 16
 #: Each round's threshold is this part of the last one's.
 STEP = 0.75
 SHARDS = 16
-RECORD = "rec_id long, slots array<int>, weights array<float>"
+RECORD = "rec_id long, slots array<long>, weights array<float>"
 
 
 def text_features(group: Column, text: str, gram: int = 4, group_weight: float = 0.5) -> tuple[Column, Column]:
     """(slots, weights): the group of a record with group_weight, and the distinct runs of `gram` characters of its text with the rest in
     equal parts. A null group is a group of its own kind; a short text is one run."""
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - gram + 1)), lambda i: F.substr(F.col(text), i, F.lit(gram))))
-    slot = lambda kind, x: F.pmod(F.xxhash64(F.lit(kind), x), F.lit(SLOTS)).cast("int")
+    slot = lambda kind, x: F.xxhash64(F.lit(kind), x)
     slots = F.concat(F.array(slot("group", F.coalesce(group, F.lit("")))), F.transform(runs, lambda r: slot("run", r)))
     equal = F.array_repeat((1 - group_weight) / F.size(runs), F.size(runs))  # not computed anew for each run
     weights = F.concat(F.array(F.lit(group_weight)), equal).cast("array<float>")
     return slots, weights
 
 
-def gain(mass: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> float:
+class Masses:
+    """The mass of each feature that has any: sorted features and their masses, looked up by binary search, and what was added since."""
+
+    def __init__(self, features: np.ndarray, masses: np.ndarray):
+        self.features, self.masses, self.added = features, masses, {}
+
+    @classmethod
+    def none(cls) -> Masses:
+        return cls(np.zeros(0, np.int64), np.zeros(0))
+
+    def copy(self) -> Masses:
+        out = Masses(self.features, self.masses)
+        out.added = dict(self.added)
+        return out
+
+    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
+        now = np.zeros(len(slots))
+        if len(self.features):
+            at = np.minimum(np.searchsorted(self.features, slots), len(self.features) - 1)
+            now = np.where(self.features[at] == slots, self.masses[at], 0.0)
+        if self.added:
+            now = now + np.fromiter((self.added.get(s, 0.0) for s in slots.tolist()), np.float64, len(slots))
+        return now
+
+    def add(self, slots: np.ndarray, weights: np.ndarray) -> None:
+        for s, w in zip(slots.tolist(), weights.tolist()):
+            self.added[s] = self.added.get(s, 0.0) + w
+
+    def settled(self) -> Masses:
+        """The same with what was added sorted in."""
+        features = np.concatenate((self.features, np.fromiter(self.added, np.int64, len(self.added))))
+        masses = np.concatenate((self.masses, np.fromiter(self.added.values(), np.float64, len(self.added))))
+        features, at = np.unique(features, return_inverse=True)
+        return Masses(features, np.bincount(at, masses, len(features)))
+
+
+def gain(mass: Masses | np.ndarray, slots: np.ndarray, weights: np.ndarray) -> float:
     now = mass[slots]
     return float((np.sqrt(now + weights) - np.sqrt(now)).sum())
 
@@ -51,6 +87,7 @@ def _round(shared, threshold: float, wanted: int):
         for batch in batches:
             if taken >= wanted:
                 return
+            mass = mass.settled()
             slots, weights = batch["slots"].to_numpy(), batch["weights"].to_numpy()
             sizes = np.array([len(s) for s in slots])
             flat, w = np.concatenate(slots), np.concatenate(weights).astype(np.float64)
@@ -61,7 +98,7 @@ def _round(shared, threshold: float, wanted: int):
                 if gains[i] < threshold or taken >= wanted:  # gains only fall, so the rest is below too
                     break
                 if gain(mass, slots[i], weights[i].astype(np.float64)) >= threshold:
-                    np.add.at(mass, slots[i], weights[i])
+                    mass.add(slots[i], weights[i].astype(np.float64))
                     picked.append(i)
                     taken += 1
             yield batch.iloc[picked]
@@ -75,14 +112,14 @@ def varied_subset(records: DataFrame, wanted: int, step: float = STEP, least: fl
 
     The threshold starts at the largest gain of a single record and falls by `step` a round; below `least` times the start it is 0, so the
     last round fills up. A record that was passed over at a threshold stays in for the next ones. Records without features gain nothing
-    and are selected last. Ties go by rec_id within a partition, so that runs agree. Empty input gives no rows. `wanted` rows and the vector of masses reach the
+    and are selected last. Ties go by rec_id within a partition, so that runs agree. Empty input gives no rows. `wanted` rows and their features reach the
     driver, nothing else does.
     """
     spark = records.sparkSession
-    kept = stored(records.select("rec_id", "slots", "weights").where(F.size("slots") > 0).repartition("rec_id").sortWithinPartitions("rec_id"), "features")
+    kept = stored(records.select("rec_id", F.col("slots").cast("array<long>").alias("slots"), "weights").where(F.size("slots") > 0).repartition("rec_id").sortWithinPartitions("rec_id"), "features")
     top = F.aggregate("weights", F.lit(0.0), lambda a, x: a + F.sqrt(x.cast("double")))
     start = kept.agg(F.max(top)).collect()[0][0]
-    mass, selected = np.zeros(SLOTS), []
+    mass, selected = Masses.none(), []
     threshold = start or 0.0
     while start and len(selected) < wanted:
         shared, left = spark.sparkContext.broadcast(mass), wanted - len(selected)
@@ -94,11 +131,11 @@ def varied_subset(records: DataFrame, wanted: int, step: float = STEP, least: fl
             found = found.repartition(tasks, "rec_id").sortWithinPartitions("rec_id").mapInPandas(passing, RECORD)
         found = found.collect()  # at most `wanted` rows
         shared.destroy()
-        mass = mass.copy()
         for r in found:
-            slots, weights = np.array(r.slots), np.array(r.weights, np.float64)
+            slots, weights = np.array(r.slots, np.int64), np.array(r.weights, np.float64)
             selected.append((r.rec_id, gain(mass, slots, weights)))
-            np.add.at(mass, slots, weights)
+            mass.add(slots, weights)
+        mass = mass.settled()
         if threshold == 0 and len(found) < left:
             break
         threshold = threshold * step if threshold * step > least * start else 0.0
