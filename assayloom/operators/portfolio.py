@@ -60,6 +60,18 @@ def greedy_portfolio(
             same = same & F.coalesce(F.col(c) == F.lit(v), F.lit(False))
         return cond
 
+    def fresh() -> Column:
+        """varied_enough of what is chosen so far, so that rows too similar to it never reach the driver."""
+        cond = excluded(spread, [r[spread] for r in chosen]) if spread else F.lit(False)
+        if not prints:
+            return cond
+        apart = F.lit(True)
+        for r in chosen:
+            both = sum((F.bit_count(F.col(prints)[i].bitwiseAND(F.lit(w))) for i, w in enumerate(r[prints])), F.lit(0))
+            either = sum((F.bit_count(F.col(prints)[i].bitwiseOR(F.lit(w))) for i, w in enumerate(r[prints])), F.lit(0))
+            apart = apart & (F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(0.0)) < ceiling)
+        return cond | apart
+
     def varied_enough(row) -> bool:
         if spread and all(r[spread] != row[spread] for r in chosen):
             return True
@@ -70,8 +82,8 @@ def greedy_portfolio(
         while len(chosen) < wanted:
             left = df.where(reduce(lambda a, b: a & b, [excluded(c, full(c)) for c in caps], F.lit(True)))
             left = left.where(excluded(unique, [r[unique] for r in chosen]))
-            if varied and not prints and len(chosen) >= exempt:
-                left = left.where(excluded(spread, [r[spread] for r in chosen]))
+            if varied and len(chosen) >= exempt:
+                left = left.where(fresh())
             if last is not None:
                 left = left.where(after(last))
             block = left.orderBy(*keys).limit(BLOCK_ROWS).collect()
