@@ -12,18 +12,21 @@ def _cell(axes: list[Column], radius: float) -> list[Column]:
     return [F.floor(a / radius).cast("long") for a in axes]
 
 
-def within(points: DataFrame, probes: DataFrame, axes: list[str], radius: float) -> DataFrame:
+def within(points: DataFrame, probes: DataFrame, axes: list[str], radius: float, others: bool = False) -> DataFrame:
     """(point_id, n_near, least): points (point_id, axes) with a probe (probe_id, axes) at most `radius` away, the number of such probes and
-    the least distance. The same id on both sides counts as different points.
+    the least distance. The same id on both sides counts as different points unless `others` is set: then a point is not near itself.
 
     A probe is sent to the cells around its own, so an equi-join on the cell finds all pairs; points without such a cell never travel on.
     Points with an unknown coordinate are near nothing.
     """
     p = points.dropna(subset=axes).select("point_id", *axes, *[c.alias(f"_c{i}") for i, c in enumerate(_cell([F.col(a) for a in axes], radius))])
-    q = probes.dropna(subset=axes).select(*[F.col(a).alias(f"_{a}") for a in axes])
+    q = probes.dropna(subset=axes).select("probe_id", *[F.col(a).alias(f"_{a}") for a in axes])
     for i, a in enumerate(axes):
         c = F.floor(F.col(f"_{a}") / radius).cast("long")
         q = q.withColumn(f"_c{i}", F.explode(F.sequence(c - 1, c + 1)))
     squared = reduce(lambda a, b: a + b, [(F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes])
-    near = p.join(q, [f"_c{i}" for i in range(len(axes))]).select("point_id", squared.alias("_d")).where(F.col("_d") <= radius * radius)
+    pairs = p.join(q, [f"_c{i}" for i in range(len(axes))])
+    if others:
+        pairs = pairs.where("point_id <> probe_id")
+    near = pairs.select("point_id", squared.alias("_d")).where(F.col("_d") <= radius * radius)
     return near.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_near"), F.sqrt(F.min("_d")).alias("least"))
