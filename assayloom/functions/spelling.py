@@ -61,6 +61,15 @@ def smiles_parts() -> Callable[[str], list[str]]:
     def visible(c: str) -> bool:
         return not (c.isspace() or unicodedata.category(c) in ("Cc", "Cf", "Zs", "Zl", "Zp"))
 
+    def one_pair(text: str) -> bool:
+        """Whether the first bracket is closed by the last character."""
+        depth = 0
+        for i, c in enumerate(text):
+            depth += (c == "(") - (c == ")")
+            if not depth:
+                return i == len(text) - 1
+        return False
+
     def parts(text: str) -> list[str]:
         if not text.isascii():
             text = text.translate(signs)
@@ -69,7 +78,7 @@ def smiles_parts() -> Callable[[str], list[str]]:
             text = "".join(filter(visible, text))
         while True:
             cut = text.strip("\"'`<>{}").rstrip(",;.:!?")
-            if cut.startswith("(") and cut.endswith(")"):
+            if cut.startswith("(") and cut.endswith(")") and one_pair(cut):
                 cut = cut[1:-1]
             if cut == text:
                 break

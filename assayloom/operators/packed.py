@@ -104,8 +104,8 @@ def unpack(df: DataFrame, row_id: str, fields: list[str], separators: str = SEPA
     """
     cells = df.select(F.col(row_id).alias("_row"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("cell")) for f in fields])).alias("c"))
     cells = cells.select("_row", "c.field_name", "c.cell").where(F.trim("cell") != "")
-    if least > 1:  # without a separator a cell has one value at most
-        cells = cells.where(F.col("cell").rlike("[" + re.escape(separators) + "]"))
+    if least > 1:  # without a separator or a list, whose commas separate whatever the separators are, a cell has one value at most
+        cells = cells.where(F.col("cell").rlike(r"[\[" + re.escape(separators) + "]"))
     parsed = cells.select("_row", "field_name", parse_cells(separators)("cell").alias("_values"))
     parsed = parsed.where(F.size("_values") >= least).withColumn("n_values", F.size("_values").cast("long"))
     return parsed.select("_row", "field_name", "n_values", F.posexplode("_values").alias("_pos", "_v")).select(

@@ -5,29 +5,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of all rows; at most 1 / HOT_SHARE keys can be, so that list may be broadcast.
-HOT_SHARE = 1 / 500
-SALTS = 64
+#: Rows of one key that a task takes. A key with more is spread over as many tasks as that asks for, at any size of the table. At most one
+#: key per so many rows of the table can be hot, which bounds the list that is broadcast to a millionth of the table.
+ROWS_A_TASK = 1_000_000
+
+
+def salts(count: str | Column) -> Column:
+    """How many tasks the rows of a key are spread over."""
+    n = F.col(count) if isinstance(count, str) else count
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(ROWS_A_TASK))).cast("int")
 
 
 def salted_lookup(rows: DataFrame, counted: DataFrame, key: str, spread: str, count: str = "n_rows") -> DataFrame:
     """Inner join of rows with counted (one row per key, its number of rows in column count).
 
-    Hot keys are spread over SALTS tasks by a hash of column spread, their lookup row is repeated as often. Null keys match nothing.
+    Keys of more than ROWS_A_TASK rows are spread by a hash of column spread, their lookup row is repeated as often. Null keys match nothing.
     """
-    total = F.broadcast(counted.agg(F.sum(count).alias("_total")))
-    hot = counted.crossJoin(total).where(F.col(count) > F.col("_total") * HOT_SHARE).select(F.col(key).alias("_hot_key"))
-    hot = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
-    left = rows.join(hot, rows[key] == hot["_hot_key"], "left").withColumn(
-        "_salt", F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    )
-    right = counted.join(hot, counted[key] == hot["_hot_key"], "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    return left.drop("_hot_key").join(right.drop("_hot_key"), [key, "_salt"]).drop("_salt")
+    hot = F.broadcast(counted.where(F.col(count) > ROWS_A_TASK).select(F.col(key).alias("_hot_key"), salts(count).alias("_salts")))
+    salt = F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")
+    left = rows.join(hot, rows[key] == hot["_hot_key"], "left").withColumn("_salt", salt).drop("_hot_key", "_salts")
+    right = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts(count) - 1)))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def within_groups(members: DataFrame, group: str, item: str, count: str) -> DataFrame:
+    """(group, item_a, item_b), item_a < item_b: all pairs of a group's items, whose number is in column count. They are the result, so there
+    are as many; a group is spread over one task per so many of its rows as make ROWS_A_TASK pairs."""
+    n = F.greatest(F.lit(1), F.ceil(F.col(count) * F.col(count) / F.lit(ROWS_A_TASK))).cast("int")
+    part = F.pmod(F.xxhash64(item), n).cast("int")
+    a = members.select(group, F.col(item).alias("item_a"), part.alias("_salt"))
+    b = members.select(group, F.col(item).alias("item_b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_salt"))
+    return a.join(b, [group, "_salt"]).where("item_a < item_b").select(group, "item_a", "item_b")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], least: int = 20_000) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -18,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the cluster names none (tests) is one made here."""
+    """The folder all executors share, named by spark.checkpoint.dir. Without one a local session (tests) gets a folder of its own; on a
+    cluster that is an error, since what an executor wrote to its own disk the others would miss."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")
@@ -31,6 +36,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _STORED:
+        atexit.register(_release_at_exit, spark)
     _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,6 +50,12 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def _release_at_exit(spark: SparkSession) -> None:
+    """Nothing is read any more when the driver ends; a JVM that is gone already leaves the tables to the cluster's own cleaning."""
+    with contextlib.suppress(Exception):
+        release(spark)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df does not use (names are compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}
