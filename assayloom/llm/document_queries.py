@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.containers import fill_containers, token_counts
 from assayloom.llm.leaks import leaks
-from assayloom.llm.spans import pairs_sharing, shared_parts
+from assayloom.llm.spans import links, pairs_sharing, shared_parts
 from assayloom.shared import stored, table
 
 
@@ -42,6 +42,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_sharing(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def p9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that shares a stretch: its class (the least of its copies), the copies and the number of other texts it shares with."""
+    return links(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document stands in others."""
     return shared_parts(table(spark, sf_dir, "documents"), "doc_id")
@@ -60,6 +65,12 @@ LEFT JOIN (SELECT item_id, count(*) AS n_docs, max(n_passages) AS most_passages
     "p9_found": """
 WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p9_links": """
+WITH t AS (SELECT min(doc_id) AS class_id, text, count(*) AS n_copies FROM documents WHERE length(text) >= 300 GROUP BY text),
+w AS (SELECT DISTINCT class_id, md5(substr(text, i, 300)) AS h FROM (SELECT class_id, text, unnest(range(1, length(text) - 298)) AS i FROM t)),
+l AS (SELECT a.class_id, count(DISTINCT b.class_id) AS n_links FROM w a JOIN w b ON a.h = b.h AND a.class_id <> b.class_id GROUP BY 1)
+SELECT doc_id, t.class_id, n_copies, coalesce(n_links, 0) AS n_links FROM documents JOIN t USING (text) LEFT JOIN l ON l.class_id = t.class_id
+WHERE n_copies > 1 OR n_links > 0""",
     "p9_shared": """
 WITH w AS (SELECT doc_id, i, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
 s AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id))),
@@ -69,4 +80,4 @@ SELECT doc_id, any_value(length(text)) AS n_chars, count_if(before IS NULL OR i
   round(sum(CASE WHEN before IS NULL THEN 300 ELSE least(300, i - before) END) / any_value(length(text)), 6) AS share
 FROM g JOIN documents USING (doc_id) GROUP BY doc_id""",
 }
-QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_links": p9_links, "p9_shared": p9_shared}

@@ -5,28 +5,33 @@ A tree over every suffix of a corpus is hundreds of times its size, so the suffi
 24 characters is the least in some window. Both copies of a shared span hold the same kept position within its first window, from which
 at least `prefix` characters are shared to the right.
 
-1. Kept suffixes are partitioned by their prefix (two 64-bit hashes of it). Copies of a whole text are one suffix. Prefixes that occur in
-   one text only hold no shared span and go.
+1. Kept suffixes are partitioned by a hash of their prefix; two prefixes that meet in one partition are told apart by their characters.
+   Copies of a whole text, by a 128-bit digest of it, are one suffix. Prefixes that occur in one text only hold no shared span and go.
 2. The texts are read again, and the suffixes that are left take along the characters before and after the prefix as far as a span can
    reach: `span - prefix` on either side.
 3. A group that fits a task becomes a subtree: its suffixes sorted, with the lengths of common prefixes of neighbours, which are the
    depths of the internal nodes. Two leaves share the depth of their lowest common node to the right, and what precedes them to the left;
    if both reach `span`, it is a maximal repeat.
 4. A group that does not fit, of a frequent notice shorter than the span say, is split by longer prefixes: the `span` characters from
-   each start at which they cover the kept prefix. Suffixes in one such partition share a span, all others share none there.
+   each start at which they cover the kept prefix, by a 128-bit digest of them. Suffixes in one such partition share a span, all others
+   share none there. Neighbouring partitions mostly have the same holders; each set of holders is paired once.
+
+Digests are BLAKE2b and SHA-256, for which no two texts with the same one are known; the rolling hashes modulo 2 ** 64, for which such
+texts can be built, only choose positions and partitions and never decide that two texts are equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.characters import SECOND, Rolling, chunks, code_points
-from assayloom.operators.skew import salted_lookup, whole_groups
+from assayloom.llm.characters import Rolling, chunks, code_points
+from assayloom.operators.skew import salted_lookup, salts, whole_groups, within_groups
 from assayloom.shared import stored
 
 SEED_CHARS = 24
@@ -59,8 +64,22 @@ def kept_positions(rolling: Rolling, window: int) -> np.ndarray:
     return np.unique(np.concatenate(kept))
 
 
+def digests(texts: list[str]) -> np.ndarray:
+    """A 128-bit digest of each text, as two numbers."""
+    raw = b"".join(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts)
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
+def covering(at: np.ndarray, reach: int, last: int) -> np.ndarray:
+    """The positions from 0 to last that lie at most `reach` before one of `at`."""
+    edges = np.zeros(last + 2, np.int32)
+    np.add.at(edges, np.minimum(np.maximum(at - reach, 0), last + 1), 1)
+    np.add.at(edges, np.minimum(at + 1, last + 1), -1)
+    return np.flatnonzero(np.cumsum(edges)[:-1] > 0)
+
+
 def _suffixes(span: int, prefix: int):
-    """mapInPandas: key (hash of the prefix), doc_id, pos and a hash of the whole text, for each kept suffix."""
+    """mapInPandas: key (hash of the prefix), doc_id, pos and a digest of the whole text, for each kept suffix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -73,16 +92,17 @@ def _suffixes(span: int, prefix: int):
                 whose = np.minimum(np.searchsorted(end, at, "right"), len(end) - 1)
                 inside = (at >= (end - size)[whose]) & (at + prefix <= end[whose])  # a kept position can be a boundary
                 at, whose = at[inside], whose[inside]
-                whole = rolling.stretches(end - size, end).view(np.int64)
+                whole, rest = digests(texts[a:b])[whose].T
                 yield pd.DataFrame(
-                    {"key": rolling.stretches(at, at + prefix).view(np.int64), "doc_id": ids[a + whose], "pos": at - (end - size)[whose], "whole": whole[whose]}
+                    {"key": rolling.stretches(at, at + prefix).view(np.int64), "doc_id": ids[a + whose], "pos": at - (end - size)[whose], "whole": whole, "rest": rest}
                 )
 
     return run
 
 
 def _contexts(span: int, prefix: int):
-    """mapInPandas over (doc_id, text, suffixes): the surroundings of each suffix of a small group; the windows of the large ones."""
+    """mapInPandas over (doc_id, text, suffixes): the surroundings of each suffix of a small group; the windows of the large ones, whose key
+    and second are the two numbers of a digest."""
     reach = span - prefix
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,11 +117,10 @@ def _contexts(span: int, prefix: int):
                     else:
                         rows.append((s["key"], doc, pos, text[pos : pos + prefix], text[max(0, pos - reach) : pos], text[pos + prefix : pos + span]))
                 if large:
-                    codes = code_points(text)
-                    covered = np.unique((np.array(large)[:, None] - np.arange(reach + 1)).ravel())
-                    covered = covered[(covered >= 0) & (covered + span <= len(codes))]
-                    keys.append(Rolling(codes).stretches(covered, covered + span).view(np.int64))
-                    second.append(Rolling(codes, SECOND).stretches(covered, covered + span).view(np.int64))
+                    covered = covering(np.array(large), reach, len(text) - span)
+                    key, other = digests([text[i : i + span] for i in covered.tolist()]).T
+                    keys.append(key)
+                    second.append(other)
                     docs.append(np.full(len(covered), doc))
                     starts.append(covered)
             if rows:
@@ -175,8 +194,8 @@ def _contexts_of(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"a span has {SEED_CHARS} characters at least")
     prefix = max(2 * span // 3, SEED_CHARS)
     long_enough = texts.where(F.length("text") >= span)
-    suffixes = long_enough.mapInPandas(_suffixes(span, prefix), "key long, doc_id long, pos long, whole long")
-    suffixes = stored(suffixes.groupBy("key", "pos", "whole").agg(F.min("doc_id").alias("doc_id")).drop("whole"), "suffixes")
+    suffixes = long_enough.mapInPandas(_suffixes(span, prefix), "key long, doc_id long, pos long, whole long, rest long")
+    suffixes = stored(suffixes.groupBy("key", "pos", "whole", "rest").agg(F.min("doc_id").alias("doc_id")).drop("whole", "rest"), "suffixes")
     groups = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     groups = groups.where(F.col("least") < F.col("most")).select("key", "n_rows")
     member = F.struct("key", "pos", (F.col("n_rows") > SUBTREE).alias("large"))
@@ -188,31 +207,71 @@ def _contexts_of(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _copies(texts: DataFrame, span: int) -> DataFrame:
-    """(first, doc_id) of every text that has copies and is long enough."""
-    rows = texts.where(F.length("text") >= span).select("doc_id", F.md5("text").alias("same"))
+    """(first, doc_id, n_rows) of every text that has copies and is long enough, the first of them included."""
+    rows = texts.where(F.length("text") >= span).select("doc_id", F.unhex(F.sha2("text", 256)).alias("same"))
     first = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-    return salted_lookup(rows, first, "same", "doc_id").select("first", "doc_id")
+    return salted_lookup(rows, first, "same", "doc_id").select("first", "doc_id", "n_rows")
+
+
+def _split_pairs(windows: DataFrame) -> DataFrame:
+    """(doc_a, doc_b): texts that hold the same window. Of windows with the same holders, one is left, so each set of holders is paired once."""
+    holders = windows.select(F.concat_ws(",", "key", "second").alias("window"), "doc_id").distinct()
+    hashed = [F.xxhash64(F.lit(k), "doc_id").cast("decimal(38,0)") for k in (1, 2)]
+    sets = holders.groupBy("window").agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(h).alias(f"set_{i}") for i, h in enumerate(hashed)]).where("n_rows > 1")
+    one = sets.groupBy("n_rows", "set_0", "set_1").agg(F.min("window").alias("window")).select("window", "n_rows")
+    members = salted_lookup(holders, stored(one, "holders"), "window", "doc_id")  # a hot notice has as many rows as documents
+    return within_groups(members, "window", "doc_id", "n_rows").select(F.col("item_a").alias("doc_a"), F.col("item_b").alias("doc_b")).distinct()
+
+
+def linked_texts(texts: DataFrame, span: int) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: different texts with a common run, each by the smallest doc_id of its copies."""
+    repeats, windows = _contexts_of(texts, span)
+    return repeats.select("doc_a", "doc_b").unionByName(_split_pairs(windows)).distinct()
 
 
 def pairs_sharing(df: DataFrame, doc_id: str, text: str = "text", span: int = 300) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents with a common run of at least `span` characters, compared exactly.
 
     Null, empty and shorter texts are in no pair. Copies of one text are pairs with each other and share the partners of their text.
-    Other columns of df are not read. Texts of any length are compared whole.
+    Other columns of df are not read. Texts of any length are compared whole. Copies are expanded last, spread by their numbers.
     """
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     copies = stored(_copies(texts, span), "copies")
-    repeats, windows = _contexts_of(texts, span)
-    holders = windows.select("key", "second", "doc_id").distinct()
-    a, b = (holders.withColumnRenamed("doc_id", f"doc_{x}") for x in "ab")
-    split = a.join(b, ["key", "second"]).where("doc_a < doc_b")  # all of them are results
-    pairs = repeats.select("doc_a", "doc_b").unionByName(split.select("doc_a", "doc_b")).distinct()
+    pairs = linked_texts(texts, span)
+    counts = copies.groupBy("first").agg(F.max("n_rows").alias("n_rows"))
     for x in "ab":
-        own = copies.select(F.col("first").alias(f"doc_{x}"), F.col("doc_id").alias(f"copy_{x}"))
-        pairs = pairs.join(own, f"doc_{x}", "left").withColumn(f"copy_{x}", F.coalesce(f"copy_{x}", f"doc_{x}"))
-    pairs = pairs.select(F.least("copy_a", "copy_b").alias("doc_id_a"), F.greatest("copy_a", "copy_b").alias("doc_id_b"))
-    a, b = copies.select("first", F.col("doc_id").alias("doc_id_a")), copies.select("first", F.col("doc_id").alias("doc_id_b"))
-    return pairs.unionByName(a.join(b, "first").where("doc_id_a < doc_id_b").drop("first"))
+        pairs = expanded(pairs, copies, counts, f"doc_{x}")
+    pairs = pairs.select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b"))
+    same = within_groups(copies, "first", "doc_id", "n_rows").select(F.col("item_a").alias("doc_id_a"), F.col("item_b").alias("doc_id_b"))
+    return pairs.unionByName(same)
+
+
+def expanded(pairs: DataFrame, copies: DataFrame, counts: DataFrame, side: str) -> DataFrame:
+    """pairs with each row once for every copy of its text in column `side`. What has no copies stays. Each copy takes the rows of its text in
+    a task that a hash of the copy names, so a text with very many copies fills as many tasks as it needs."""
+    share = salts("n_rows")
+    own = copies.select(F.col("first").alias(side), F.col("doc_id").alias("_copy"), F.pmod(F.xxhash64("doc_id"), share).cast("int").alias("_salt"))
+    spread = pairs.join(counts.withColumnRenamed("first", side), side, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(share, F.lit(1)) - 1)))
+    out = spread.join(own, [side, "_salt"], "left").where(F.col("_copy").isNotNull() | F.col("n_rows").isNull())
+    return out.withColumn(side, F.coalesce("_copy", side)).drop("_copy", "_salt", "n_rows")
+
+
+def links(df: DataFrame, doc_id: str, text: str = "text", span: int = 300) -> DataFrame:
+    """One row per document that shares a run with another: doc_id, class_id (the smallest doc_id of its text's copies), n_copies (of its text)
+    and n_links (other texts that share a run with it). Texts as in pairs_sharing; no copies are expanded into pairs."""
+    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    copies = stored(_copies(texts, span), "copies")
+    pairs = stored(linked_texts(texts, span), "links")
+    ends = pairs.select(F.col("doc_a").alias("class_id")).unionByName(pairs.select(F.col("doc_b").alias("class_id")))
+    linked = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    copied = copies.groupBy("first").agg(F.max("n_rows").alias("n_copies"))
+    classes = linked.join(copied.withColumnRenamed("first", "class_id"), "class_id", "full").select(
+        "class_id", F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+    members = copies.select("doc_id", F.col("first").alias("class_id"))
+    lone = classes.where("n_copies = 1").select(F.col("class_id").alias("doc_id"), "class_id", "n_copies", "n_links")
+    many = salted_lookup(members, classes.where("n_copies > 1"), "class_id", "doc_id", "n_copies")
+    return lone.unionByName(many.select(lone.columns))
 
 
 def shared_parts(df: DataFrame, doc_id: str, text: str = "text", span: int = 300) -> DataFrame:
@@ -225,7 +284,7 @@ def shared_parts(df: DataFrame, doc_id: str, text: str = "text", span: int = 300
     repeats, windows = _contexts_of(texts, span)
     repeats = stored(repeats, "repeats")
     parts = [repeats.select(F.col(f"doc_{x}").alias("doc_id"), F.col(f"start_{x}").alias("start"), "length") for x in "ab"]
-    windows = windows.withColumn("window", F.struct("key", "second"))
+    windows = windows.withColumn("window", F.concat_ws(",", "key", "second"))
     held = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     held = held.where(F.col("least") < F.col("most")).select("window", "n_rows")
     split = salted_lookup(windows, held, "window", "doc_id").select("doc_id", F.col("pos").alias("start"), F.lit(span).cast("long").alias("length"))

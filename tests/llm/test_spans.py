@@ -7,7 +7,7 @@ import pytest
 
 from assayloom.llm import spans as S
 from assayloom.llm.characters import Rolling, code_points
-from assayloom.llm.spans import kept_positions, pairs_sharing, shared_parts
+from assayloom.llm.spans import covering, kept_positions, links, pairs_sharing, shared_parts
 
 
 def corpus(seed):
@@ -57,6 +57,51 @@ def test_against_brute_force(spark, monkeypatch, subtree, piece):
     assert got == {d: (n, s) for d, (n, s, _) in brute_parts(docs, 30).items()}
 
 
+def test_texts_whose_rolling_hashes_collide(spark):
+    """Differences that follow the Thue-Morse sequence vanish in any polynomial modulo 2 ** 64, whatever its base."""
+    rnd = random.Random(4)
+    opening = "".join(rnd.choices("abcdefgh", k=400))
+    morse = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in morse), "".join("ba"[b] for b in morse)
+    ends = Rolling(code_points(one + two)).stretches(np.array([0, 1024]), np.array([1024, 2048]))
+    assert ends[0] == ends[1]  # the trap works
+    docs = [(1, opening + one), (2, opening + two), (3, opening + "x" * 50), (4, one), (5, two)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in pairs_sharing(df, "doc_id").collect()} == brute(docs, 300)
+    assert {tuple(r) for r in pairs_sharing(df, "doc_id", span=1024).collect()} == brute(docs, 1024)
+
+
+@pytest.mark.parametrize("span", [300, 1024])
+def test_windows_of_split_groups_are_compared_by_digest(spark, monkeypatch, span):
+    monkeypatch.setattr(S, "SUBTREE", 2)
+    morse = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in morse), "".join("ba"[b] for b in morse)
+    docs = [(i, f"{i}" * 40 + one + "!" * i) for i in range(4)] + [(10 + i, f"{i}" * 40 + two + "?" * i) for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in pairs_sharing(df, "doc_id", span=span).collect()} == brute(docs, span)
+
+
+def test_links_are_classes_and_their_numbers(spark):
+    docs = corpus(8)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    pairs, text = brute(docs, 30), dict(docs)
+    first = {}
+    for d, t in sorted(docs):
+        first.setdefault(t, d)
+    want = {}
+    for d, t in docs:
+        near = {text[y if x == d else x] for x, y in pairs if d in (x, y)}
+        if near:
+            want[d] = (first[t], sum(u == t for _, u in docs), len(near - {t}))
+    assert {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in links(df, "doc_id", span=30).collect()} == want
+    assert links(df.limit(0), "doc_id", span=30).count() == 0
+
+
+def test_covering():
+    assert covering(np.array([3, 4, 9]), 2, 7).tolist() == [1, 2, 3, 4, 7]
+    assert len(covering(np.arange(1_000_000), 100, 999_000)) == 999_001
+
+
 def test_every_window_keeps_a_position():
     rnd = random.Random(2)
     for text in ["".join(rnd.choices("ab", k=3000)), "a" * 500, "ab" * 300]:
