@@ -246,12 +246,14 @@ def pairs_sharing(df: DataFrame, doc_id: str, text: str = "text", span: int = 30
     return pairs.unionByName(same)
 
 
-def expanded(pairs: DataFrame, copies: DataFrame, counts: DataFrame, side: str) -> DataFrame:
-    """pairs with each row once for every copy of its text in column `side`. What has no copies stays. Each copy takes the rows of its text in
-    a task that a hash of the copy names, so a text with very many copies fills as many tasks as it needs."""
+def expanded(pairs: DataFrame, copies: DataFrame, counts: DataFrame, side: str, lone: bool = True) -> DataFrame:
+    """pairs with each row once for every copy (first, doc_id, n_rows) of what is in column `side`; counts: (first, n_rows). With `lone`, what
+    has no copies stays, else it goes. Each copy takes the rows in a task that a hash of the copy names, so that what has very many copies
+    fills as many tasks as it needs."""
     share = salts("n_rows")
     own = copies.select(F.col("first").alias(side), F.col("doc_id").alias("_copy"), F.pmod(F.xxhash64("doc_id"), share).cast("int").alias("_salt"))
-    spread = pairs.join(counts.withColumnRenamed("first", side), side, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(share, F.lit(1)) - 1)))
+    spread = pairs.join(counts.withColumnRenamed("first", side), side, "left" if lone else "inner")
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(share, F.lit(1)) - 1)))
     out = spread.join(own, [side, "_salt"], "left").where(F.col("_copy").isNotNull() | F.col("n_rows").isNull())
     return out.withColumn(side, F.coalesce("_copy", side)).drop("_copy", "_salt", "n_rows")
 
