@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm.bundles import Bundle, Dependency, best_record
+from assayloom.llm.bundles import Bundle, Dependency, Level, best_record, best_rows
 from assayloom.llm.spellings import ELEMENTS, collapse, copies
 from assayloom.shared import table
 
@@ -17,11 +17,11 @@ def id_key(c: str) -> Column:
     return F.nullif(F.upper(F.regexp_replace(c, "[^A-Za-z0-9]", "")), F.lit(""))
 
 
-def label_trust() -> list[Column]:
-    """Measured before assigned before codes without meaning; then the latest report."""
+def label_trust() -> list[Level]:
+    """Measured before assigned before codes without meaning; then the latest report, in microseconds from the year 1 of its own clock."""
     return [
-        F.when(F.col("ic50") > 0, 2).when(F.col("ic50").isin(0, -1), 1).otherwise(0),
-        F.unix_micros(F.col("reported_at").cast("timestamp")),
+        (F.when(F.col("ic50") > 0, 2).when(F.col("ic50").isin(0, -1), 1).otherwise(0), 1),
+        (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '0001-01-01 00:00:00', reported_at)"), 18),
     ]
 
 
@@ -29,11 +29,13 @@ HAS_POTENCY = lambda: F.col("pIC50").isNotNull() & ~F.isnan("pIC50")  # noqa: E7
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every field is a bundle of its own here, and no dependency binds them."""
+    """Every field is a bundle of its own. The id determines both potencies: all fields of a record must come from rows that name one
+    compound. A group has one such key, so that the bound is reached at the root of its search and each field has its most trusted value."""
     rows = table(spark, sf_dir, "raw_compounds")
     fields = [Bundle("id", ("id",)), Bundle("pIC50", ("pIC50",), HAS_POTENCY()), Bundle("ic50", ("ic50",))]
-    best = best_record(rows, id_key("id"), fields, label_trust(), "row_id").where(F.col("n_rows") >= 2)
-    cases = F.explode(F.array(*[F.struct(F.lit(b.name).alias("field_name"), F.col(f"{b.name}.row_id").alias("row_id")) for b in fields]))
+    rules = [Dependency("id", f, id_key("id"), id_key("id")) for f in ("pIC50", "ic50")]
+    best = best_rows(rows, id_key("id"), fields, label_trust(), "row_id", rules).where(F.col("n_rows") >= 2)
+    cases = F.explode(F.array(*[F.struct(F.lit(b.name).alias("field_name"), F.col(b.name).alias("row_id")) for b in fields]))
     return best.select("id_key", cases.alias("x")).select("id_key", "x.*").where(F.col("row_id").isNotNull())
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assayloom.llm.bundles import Bundle, Dependency, best_record
+from assayloom.llm.bundles import Bundle, Dependency, best_record, best_rows
 from assayloom.llm.compound_queries import id_key
 from assayloom.llm.spellings import collapse, copies, smiles_parts
 
@@ -33,14 +33,59 @@ def test_search_is_optimal(spark, k):
     ]
     df = spark.createDataFrame([(r["row_id"], r["g"], r["a"], r["b"], r["t"], "extra") for r in rows], "row_id long, g string, a long, b long, t long, _g string")
     rule = Dependency("A", "B", F.col("a") % k, F.col("b") % k)
-    got = best_record(df, F.col("g"), [Bundle("A", ("a",)), Bundle("B", ("b",))], [F.col("t")], "row_id", [rule])
+    got = best_record(df, F.col("g"), [Bundle("A", ("a",)), Bundle("B", ("b",))], [(F.col("t"), 1)], "row_id", [rule])
     found = {r.id_key: (r.A and r.A.row_id, r.B and r.B.row_id) for r in got.collect()}
     assert found == brute(rows, k)
 
 
+def test_trees_are_searched_apart(spark):
+    """Two rules that share no bundle, a chain of rules, null levels and null keys against all choices."""
+    rnd = random.Random(8)
+    names = "abcd"
+    rows = [dict(row_id=i, g=rnd.choice("xyyyy"), t=rnd.choice([None, 0, 1, 2]), **{c: rnd.choice([None, 1, 2, 3, 4]) for c in names}) for i in range(26)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "row_id long, g string, t long, a long, b long, c long, d long")
+    key = lambda c, m: F.when(F.col(c) != 4, F.col(c) % m)
+    none = lambda v, m: None if v == 4 else v % m
+    for pairs in ([("a", "c"), ("b", "d")], [("a", "b"), ("b", "c")], [("a", "b"), ("a", "d")]):
+        rules = [Dependency(x, y, key(x, 2), key(y, 3)) for x, y in pairs]
+        got = best_rows(df, F.col("g"), [Bundle(c, (c,)) for c in names], [(F.col("t"), 2)], "row_id", rules)
+        for r in got.collect():
+            own = [x for x in rows if x["g"] == r.id_key]
+            vec = lambda x: (-(10**20) + 1 if x["t"] is None else x["t"], -x["row_id"]) if x else (-(10**25) + 1, -(10**25) + 1)
+            best = max(
+                (
+                    tuple(map(sum, zip(*map(vec, p))))
+                    for p in itertools.product(*[[x for x in own if x[c] is not None] + [None] for c in names[: 3 if "d" not in sum(pairs, ()) else 4]])
+                    for q in [dict(zip(names, p))]
+                    if all(not (q[x] and q[y]) or None in (k := (none(q[x][x], 2), none(q[y][y], 3))) or k[0] == k[1] for x, y in pairs)
+                ),
+            )
+            chosen = {c: next((x for x in own if x["row_id"] == r[c]), None) for c in names}
+            used = [chosen[c] for c in names[: 3 if "d" not in sum(pairs, ()) else 4]]
+            assert tuple(map(sum, zip(*map(vec, used)))) == best
+            assert all(not (chosen[x] and chosen[y]) or None in (k := (none(chosen[x][x], 2), none(chosen[y][y], 3))) or k[0] == k[1] for x, y in pairs)
+
+
+def test_trust_must_fit(spark):
+    df = spark.createDataFrame([(1, "g", 7)], "row_id long, g string, a long")
+    make = lambda level, i="row_id": best_rows(df, F.col("g"), [Bundle("A", ("a",))], [level], i)
+    assert [r.A for r in make((F.lit(98), 2)).collect()] == [1]
+    with pytest.raises(ValueError):
+        make((F.lit(1), 20))
+    for bad in (99, -1):
+        with pytest.raises(Exception, match="level of trust"):
+            make((F.lit(bad), 2)).collect()
+
+
+def test_root_is_a_hash_aggregate(spark):
+    df = spark.createDataFrame([(1, "g", 7)], "row_id long, g string, a long")
+    plan = best_rows(df, F.col("g"), [Bundle("A", ("a",))], [(F.col("a"), 3)], "row_id")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHash" not in plan
+
+
 def test_groups_without_candidates_ties_and_empty(spark):
     df = spark.createDataFrame([(2, "g", None), (1, "g", None), (5, "h", 1.0), (4, "h", 1.0), (9, " - ", 1.0), (8, None, 1.0)], "row_id long, id string, a double")
-    make = lambda d: best_record(d, id_key("id"), [Bundle("A", ("a",))], [F.lit(0)], "row_id")
+    make = lambda d: best_record(d, id_key("id"), [Bundle("A", ("a",))], [(F.lit(0), 1)], "row_id")
     got = {r.id_key: r.A and r.A.row_id for r in make(df).collect()}
     assert got == {"G": None, "H": 4}
     assert make(df.limit(0)).count() == 0
