@@ -14,9 +14,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,12 @@ def encoder(path: str):
 
 
 def token_counts(df: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of whole texts; a null text has none."""
+    """(doc_id, n_tokens) of whole texts; a null text has none. The vocabulary file is the driver's; Spark sends it to the executors."""
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = Path(tokenizer).name
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(encode(t)) if t else 0 for t in batch["text"]]})
 

@@ -17,17 +17,18 @@ from assayloom.shared import stored
 
 
 def water_level(largest: list[int], total: int, share: float, of_output: bool) -> float:
-    """The most rows a contributor may keep. largest: the floor(1 / share) largest counts, descending; total: all rows.
+    """The most rows a contributor may keep. largest: the floor(1 / share) largest counts, descending; total: all rows. inf: nobody exceeds.
 
-    Of the input: floor(share * total). Of the output: the largest whole c with c <= share * (rows kept at level c); contributors above
-    the level are filled to it, those below keep theirs. With k above the level: c <= share * (k * c + rest), so c = share * rest /
-    (1 - share * k), the k for which that level lies between the k-th and the next count being consistent. inf: nobody exceeds.
+    Contributors above the level are filled to it, those below keep theirs; with the k largest above, the rest are the other rows. A level is
+    consistent if it is not above the share of what the share is taken of: of the output, k * level + rest, so that level = share * rest /
+    (1 - share * k); of the input, all rows whatever k is. The k is sought for which the level lies between the k-th and the next count.
     """
-    if not of_output:
-        return floor(share * total + 1e-9)
     rest = total
     for k in range(len(largest) + 1):
-        level = share * rest / (1 - share * k) if share * k < 1 - 1e-12 else 0.0
+        if not of_output:
+            level = share * total
+        else:
+            level = share * rest / (1 - share * k) if share * k < 1 - 1e-12 else 0.0
         following = largest[k] if k < len(largest) else 0
         if following <= level + 1e-9:
             return inf if k == 0 else floor(level + 1e-9)
@@ -45,7 +46,7 @@ def over_limit(df: DataFrame, contributor: Column, quality: list[Column], row_id
     if share < 1e-6:
         raise ValueError("share must be at least one in a million, as 1 / share counts reach the driver")
     rows = df.select(F.col(row_id).alias("row_id"), contributor.alias("_who"), *[q.alias(f"_q{i}") for i, q in enumerate(quality)])
-    counts = df.select(contributor.alias("_who")).groupBy("_who").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(df.select(contributor.alias("_who")).groupBy("_who").agg(F.count(F.lit(1)).alias("n")), "counts")  # read thrice
     limit = floor(1 / share)
     largest = [r.n for r in counts.where(F.col("_who").isNotNull()).orderBy(F.desc("n")).select("n").limit(limit).collect()]
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0].n

@@ -21,6 +21,10 @@ def test_water_level_against_all_levels():
         got = min(water_level(counts[: int(1 / share)], total, share, True), counts[0])
         assert got == min(brute_level(counts, total, share), counts[0]), (counts, share)
     assert water_level([], 0, 0.5, True) == float("inf")
+    for _ in range(100):  # of the input the level is the same whatever is above it
+        counts = sorted((rnd.randint(1, 60) for _ in range(rnd.randint(1, 25))), reverse=True)
+        total = sum(counts) + rnd.randint(0, 20)
+        assert min(water_level(counts[:10], total, 0.1, False), counts[0]) == min(int(0.1 * total + 1e-9), counts[0])
 
 
 @pytest.mark.parametrize("of_output", [False, True])
