@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
+
 from assayloom.llm import leaks as L
-from assayloom.llm.leaks import leaks
+from assayloom.llm.leaks import leaks, set_sizes
 
 
 def words(t):
@@ -51,10 +53,27 @@ def test_against_brute_force(spark):
 
 def test_join_path(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_KEYS", 3)
+    check(spark, 5, 13)
     monkeypatch.setattr(L, "BROADCAST_CHARS", 3)
     check(spark, 5, 13)
 
 
+def test_set_sizes():
+    rnd = random.Random(2)
+    for n in (9, 30):
+        values = np.array([rnd.randint(0, 9) for _ in range(n)], np.uint64)
+        assert set_sizes(values, 9).tolist() == [len(set(values[i : i + 9].tolist())) for i in range(n - 8)]
+    assert set_sizes(np.arange(12, dtype=np.uint64), 4).tolist() == [4] * 9
+
+
+def test_words_that_repeat(spark):
+    """Sets of few different shingles are in a partition of their own."""
+    docs = [(1, "ha " * 40), (2, "ha ho " * 30), (3, "x " + "ha " * 12 + "y"), (4, "x " + "ha " * 13)]
+    items = [(7, "ha " * 13), (8, "ho ha " * 8)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_passages) for r in leaks(d, "doc_id", i, "item_id").collect()} == {(1, 7, 1), (4, 7, 1), (2, 8, 2)}
+
+
 def test_empty(spark):
     docs, items = corpus()
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
