@@ -3,14 +3,16 @@
 A record has weighted features; the value of a subset is the sum over features of the square root of the mass selected, so that each
 further record of a large group adds less. Records are added in rounds of a descending threshold. In a round every partition passes over
 its records that are left, with the masses so far, and adds those whose marginal gain reaches the threshold, counting in what it added
-itself; the additions of all partitions are merged by passing over them the same way, first in shards, then in one task, until the wanted
-number is reached. Only features of selected records have mass: their 64-bit hashes, sorted, and their masses are the one thing that is
-broadcast, at most `wanted` times the features of a record, and a partition returns at most as many records as are still wanted.
+itself; the additions of all partitions are merged by passing over them the same way, FAN_IN partitions in a task, level by level, until one
+is left, which sees at most FAN_IN times the wanted number, one batch at a time. Only features of selected records have mass: their 64-bit
+hashes, sorted, and their masses are the one thing that is broadcast, and with the ids of the selected the one thing that reaches the driver.
+A record's gain never exceeds that of being chosen first, so records below the threshold by that bound are left in their files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,11 @@ from assayloom.shared import stored
 SLOTS = 1 << 16
 #: Each round's threshold is this part of the last one's.
 STEP = 0.75
-SHARDS = 16
+#: Partitions whose additions one task merges.
+FAN_IN = 16
 RECORD = "rec_id long, slots array<long>, weights array<float>"
+RECORD_COLUMNS = ["rec_id", "slots", "weights"]
+SELECTED = "rec_id long, gain double, slots array<long>, masses array<double>"
 
 
 def text_features(group: Column, text: str, gram: int = 4, group_weight: float = 0.5) -> tuple[Column, Column]:
@@ -79,29 +84,40 @@ def gain(mass: Masses | np.ndarray, slots: np.ndarray, weights: np.ndarray) -> f
     return float((np.sqrt(now + weights) - np.sqrt(now)).sum())
 
 
-def _round(shared, threshold: float, wanted: int):
-    """mapInPandas: the records that a pass over a partition adds at this threshold."""
+def _round(shared, threshold: float, wanted: int, last: bool = False):
+    """mapInPandas: the records that a pass over a partition adds at this threshold. The last pass gives their gains instead of their
+    features, and at its end a row of all features that got mass, without an id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mass, taken = shared.value.copy(), 0
+        mass, added, taken = shared.value.copy(), Masses.none(), 0
         for batch in batches:
             if taken >= wanted:
-                return
-            mass = mass.settled()
+                break
+            if len(mass.added) > len(mass.features) // 8:
+                mass = mass.settled()
             slots, weights = batch["slots"].to_numpy(), batch["weights"].to_numpy()
             sizes = np.array([len(s) for s in slots])
             flat, w = np.concatenate(slots), np.concatenate(weights).astype(np.float64)
             now = mass[flat]
             gains = np.add.reduceat(np.sqrt(now + w) - np.sqrt(now), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-            picked = []
+            picked, won = [], []
             for i in np.argsort(-gains, kind="stable"):
                 if gains[i] < threshold or taken >= wanted:  # gains only fall, so the rest is below too
                     break
-                if gain(mass, slots[i], weights[i].astype(np.float64)) >= threshold:
+                more = gain(mass, slots[i], weights[i].astype(np.float64))
+                if more >= threshold:
                     mass.add(slots[i], weights[i].astype(np.float64))
                     picked.append(i)
+                    won.append(more)
                     taken += 1
-            yield batch.iloc[picked]
+                    if last:
+                        added.add(slots[i], weights[i].astype(np.float64))
+            if not last:
+                yield batch.iloc[picked][RECORD_COLUMNS]
+            elif picked:
+                yield pd.DataFrame({"rec_id": batch["rec_id"].to_numpy()[picked], "gain": won, "slots": [[]] * len(picked), "masses": [[]] * len(picked)})
+        if added.added:
+            yield pd.DataFrame({"rec_id": pd.array([None], "Int64"), "gain": [0.0], "slots": [list(added.added)], "masses": [list(added.added.values())]})
 
     return run
 
@@ -112,31 +128,36 @@ def varied_subset(records: DataFrame, wanted: int, step: float = STEP, least: fl
 
     The threshold starts at the largest gain of a single record and falls by `step` a round; below `least` times the start it is 0, so the
     last round fills up. A record that was passed over at a threshold stays in for the next ones. Records without features gain nothing
-    and are selected last. Ties go by rec_id within a partition, so that runs agree. Empty input gives no rows. `wanted` rows and their features reach the
-    driver, nothing else does.
+    and are selected last. Ties go by rec_id within a partition, so that runs agree. Empty input gives no rows. The ids and gains of `wanted`
+    rows and the different features that they hold reach the driver, nothing else does.
     """
     spark = records.sparkSession
-    kept = stored(records.select("rec_id", F.col("slots").cast("array<long>").alias("slots"), "weights").where(F.size("slots") > 0).repartition("rec_id").sortWithinPartitions("rec_id"), "features")
     top = F.aggregate("weights", F.lit(0.0), lambda a, x: a + F.sqrt(x.cast("double")))
-    start = kept.agg(F.max(top)).collect()[0][0]
+    kept = records.select("rec_id", F.col("slots").cast("array<long>").alias("slots"), "weights", top.alias("top")).where(F.size("slots") > 0)
+    kept = stored(kept.repartition("rec_id").sortWithinPartitions("rec_id"), "features")
+    start = kept.agg(F.max("top")).collect()[0][0]
     mass, selected = Masses.none(), []
     threshold = start or 0.0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # of the stored features; a merge too many or too few does no harm
     while start and len(selected) < wanted:
         shared, left = spark.sparkContext.broadcast(mass), wanted - len(selected)
         chosen = spark.createDataFrame([(r[0],) for r in selected], "rec_id long")  # at most `wanted` rows
-        rest = kept.join(F.broadcast(chosen), "rec_id", "left_anti") if selected else kept
-        passing = _round(shared, threshold, left)
-        found = rest.mapInPandas(passing, RECORD)
-        for tasks in (SHARDS, 1):
-            found = found.repartition(tasks, "rec_id").sortWithinPartitions("rec_id").mapInPandas(passing, RECORD)
-        found = found.collect()  # at most `wanted` rows
+        rest = kept.where(F.col("top") >= threshold).drop("top")
+        rest = rest.join(F.broadcast(chosen), "rec_id", "left_anti") if selected else rest
+        found, tasks = rest.mapInPandas(_round(shared, threshold, left), RECORD), parts
+        while tasks > 1:
+            tasks = ceil(tasks / FAN_IN)
+            found = found.repartition(tasks, "rec_id").sortWithinPartitions("rec_id")
+            found = found.mapInPandas(_round(shared, threshold, left), RECORD) if tasks > 1 else found
+        found = found.coalesce(1).mapInPandas(_round(shared, threshold, left, last=True), SELECTED).collect()  # at most `wanted` rows
         shared.destroy()
         for r in found:
-            slots, weights = np.array(r.slots, np.int64), np.array(r.weights, np.float64)
-            selected.append((r.rec_id, gain(mass, slots, weights)))
-            mass.add(slots, weights)
+            if r.rec_id is None:
+                mass.add(np.array(r.slots, np.int64), np.array(r.masses))
+            else:
+                selected.append((r.rec_id, r.gain))
         mass = mass.settled()
-        if threshold == 0 and len(found) < left:
+        if threshold == 0 and sum(r.rec_id is not None for r in found) < left:
             break
         threshold = threshold * step if threshold * step > least * start else 0.0
     rows = [(i, k + 1, g) for k, (i, g) in enumerate(selected)]

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from assayloom.llm import variety as V
 from assayloom.llm.variety import SLOTS, gain, text_features, varied_subset
 
 SCHEMA = "rec_id long, slots array<int>, weights array<float>"
@@ -58,3 +59,22 @@ def test_features(spark):
     rows = df.select(slots.alias("s"), weights.alias("w")).collect()
     assert [len(r.s) for r in rows] == [2, 2, 4] and all(abs(sum(r.w) - 1) < 1e-6 and len(r.s) == len(r.w) for r in rows)
     assert rows[0].s[0] == rows[2].s[0] != rows[1].s[0]
+
+
+def test_additions_are_merged_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(V, "FAN_IN", 2)
+    rows = records(3, 200)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = varied_subset(df, 30).collect()
+    assert len({r.rec_id for r in got}) == 30 and sorted(r.place for r in got) == list(range(1, 31))
+    mass = np.zeros(SLOTS)
+    for r in sorted(got, key=lambda r: r.place):
+        assert abs(gain(mass, np.array(rows[r.rec_id][1]), np.array(rows[r.rec_id][2])) - r.gain) < 1e-5
+        np.add.at(mass, rows[r.rec_id][1], rows[r.rec_id][2])
+    assert sum(r.gain for r in got) >= 0.93 * greedy(rows, 30)
+
+
+def test_a_large_part_of_the_records(spark):
+    rows = records(4, 400)
+    got = varied_subset(spark.createDataFrame(rows, SCHEMA), 200).collect()
+    assert len({r.rec_id for r in got}) == 200 and sum(r.gain for r in got) >= 0.95 * greedy(rows, 200)
