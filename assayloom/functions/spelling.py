@@ -104,3 +104,14 @@ def with_molecule(df: DataFrame, value: str, spread: str, name: str = "molecule"
     distinct = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     spelled = stored(distinct.withColumn(name, canonical(value)).where(F.col(name).isNotNull()), "molecules")  # read thrice
     return salted_lookup(df, spelled, value, spread, "_n").drop("_n")
+
+
+def canonical_sql(c: str) -> str:
+    """The same rules as nested ANSI SQL, for comparison: spaces and marks, stand-ins, wrapping, letter case, component order."""
+    c = rf"regexp_replace({c}, '[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]', '', 'g')"
+    c = f"translate({c}, '\u2013\u2212\u201c\u201d', '--\"\"')"
+    c = rf"""regexp_replace(regexp_replace({c}, '^["''`<>{{}}]+', ''), '["''`<>{{}},;.:!?]+$', '')"""
+    c = f"regexp_replace(regexp_replace({c}, 'cl', 'Cl', 'gi'), 'br', 'Br', 'gi')"
+    for e in (e for e in ELEMENTS if e not in ("Cl", "Br") and not (e[1] == "h" and e[0] in "BNCOSP")):
+        c = rf"regexp_replace({c}, '\[(\d*){e}', '[\1{e}', 'gi')"
+    return f"array_to_string(list_sort(string_split({c}, '.')), '.')"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions import expr as E
-from assayloom.functions.spelling import with_molecule
+from assayloom.functions.spelling import canonical_sql, with_molecule
 from assayloom.operators.enumerate import apply_transforms, first_products, levels
 from assayloom.operators.geometry import within
 from assayloom.operators.portfolio import greedy_portfolio
@@ -179,7 +179,7 @@ def j15_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings, taken as points of their first three values, with a query point of another id nearby."""
     axes = [F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")]
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), *axes)
-    found = within(points, points.where(F.col("point_id") % EVERY == 1).withColumnRenamed("point_id", "probe_id"), ["x", "y", "z"], 0.1)
+    found = within(points, points.where(F.col("point_id") % EVERY == 0).withColumnRenamed("point_id", "probe_id"), ["x", "y", "z"], 0.1, others=True)
     return found.select("point_id", "n_near", r6("least").alias("least"))
 
 
@@ -211,10 +211,9 @@ def e08_site_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e16_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What two rounds of transforms reach from every hundredth molecule."""
-    rows = table(spark, sf_dir, "final_model_feature_matrix").where(F.col("row_id") % EVERY == 0)
-    parents = rows.select(E.tidy("canonical_smiles").alias("parent")).where("parent IS NOT NULL").distinct()
-    return levels(parents, TRANSFORMS, 2, 120)
+    """What two rounds of transforms reach from the feature matrix's molecules, all of them and at any length."""
+    parents = table(spark, sf_dir, "final_model_feature_matrix").select(E.tidy("canonical_smiles").alias("parent")).where("parent IS NOT NULL").distinct()
+    return levels(parents, TRANSFORMS, 2)
 
 
 def e16_levels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +232,45 @@ def _sites_sql(source: str, column: str) -> str:
 
 _TIDY = r"nullif(regexp_replace(canonical_smiles, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '')"
 _FM = "(SELECT canonical_smiles, CASE WHEN pIC50::VARCHAR = 'nan' THEN NULL ELSE pIC50 END AS y FROM final_model_feature_matrix)"
+_MOLECULES = f"(SELECT nullif({canonical_sql('canonical_smiles')}, '') AS molecule, CASE WHEN pIC50::VARCHAR = 'nan' THEN NULL ELSE pIC50 END AS y FROM final_model_feature_matrix)"
 _PAIRS = (
     "WITH s AS (SELECT row_id, (" + " || ".join(f"(coalesce({b}, 0) = 1)::INT::VARCHAR" for b in BITS) + ")::BIT AS bits FROM feature_set_morgan_512), b AS (SELECT *, bit_count(bits) AS n FROM s),"
     f""" pairs AS (SELECT q.row_id AS query_id, r.row_id, bit_count(q.bits & r.bits)::DOUBLE / nullif(q.n + r.n - bit_count(q.bits & r.bits), 0) AS similarity
     FROM b q JOIN b r ON q.row_id % {EVERY} = 0 AND q.row_id <> r.row_id)"""
 )
 _SIGNS = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN 1::UBIGINT << {i} ELSE 0::UBIGINT END" for i in range(64))
+
+
+def _near_sql(probes: str) -> str:
+    return f"""
+WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+d AS (SELECT p.vec_id AS point_id, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d FROM p JOIN p q ON q.vec_id <> p.vec_id {probes})
+SELECT point_id, count(*) AS n_near, round(sqrt(min(d)), 6) AS least FROM d WHERE d <= 0.1 * 0.1 GROUP BY 1"""
+
+
+def _loo_sql(source: str, key: str) -> str:
+    return f"""
+WITH c AS (SELECT {key}, y, count(*) AS n_same FROM {source} WHERE y IS NOT NULL AND {key} IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, sum(n_same) OVER (PARTITION BY {key}) AS n, sum(y * n_same) OVER (PARTITION BY {key}) AS s FROM c)
+SELECT {key}, y AS pic50, n_same, round((s - y) / (n - 1), 6) AS others_mean FROM t WHERE n > 1"""
+
+
+def _memoriser_sql(source: str, key: str) -> str:
+    return f"""
+WITH r AS (SELECT y, avg(y) OVER (PARTITION BY {key}) AS p FROM {source} WHERE y IS NOT NULL AND {key} IS NOT NULL)
+SELECT count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2 FROM r"""
+
+
+def _levels_sql(depth: int) -> str:
+    """Level by level: what a level makes that no level before it has."""
+    out = f"WITH l0 AS (SELECT DISTINCT {_TIDY} AS s, {_TIDY} AS root FROM final_model_feature_matrix WHERE {_TIDY} IS NOT NULL)"
+    for d in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT s FROM l{k}" for k in range(d))
+        out += f""", l{d} AS (SELECT product AS s, min(root) AS root FROM {_sites_sql(f'l{d - 1}', 's')} JOIN l{d - 1} ON l{d - 1}.s = parent
+  WHERE product NOT IN ({before}) GROUP BY 1)"""
+    return out + " " + " UNION ALL ".join(f"SELECT s AS product, {d}::BIGINT AS depth, root FROM l{d}" for d in range(1, depth + 1))
+
+
 _D02 = """SELECT r.i, n + {cond}::INT, CASE WHEN {cond} THEN list_append(ids, r.vec_id) ELSE ids END, CASE WHEN {cond} THEN list_append(labels, r.label) ELSE labels END,
   CASE WHEN {cond} THEN list_append(ws, r.w) ELSE ws END FROM {t} JOIN o r ON r.i = {t}.i + 1 WHERE n < 12"""
 _D02_CAP = "n < 12 AND len(list_filter(labels, lambda v: v = r.label)) < 2"
@@ -255,13 +287,10 @@ SQL = {
     "j12_max_to_reference": _PAIRS
     + """SELECT row_id, query_id AS reference_id, round(similarity, 6) AS similarity FROM pairs
   QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY similarity DESC NULLS LAST, query_id) = 1""",
-    "m01_loo_mean": f"""
-WITH c AS (SELECT canonical_smiles, y, count(*) AS n_same FROM {_FM} WHERE y IS NOT NULL AND canonical_smiles IS NOT NULL GROUP BY ALL),
-t AS (SELECT *, sum(n_same) OVER (PARTITION BY canonical_smiles) AS n, sum(y * n_same) OVER (PARTITION BY canonical_smiles) AS s FROM c)
-SELECT canonical_smiles, y AS pic50, n_same, round((s - y) / (n - 1), 6) AS others_mean FROM t WHERE n > 1""",
-    "m07_memoriser": f"""
-WITH r AS (SELECT y, avg(y) OVER (PARTITION BY canonical_smiles) AS p FROM {_FM} WHERE y IS NOT NULL AND canonical_smiles IS NOT NULL)
-SELECT count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2 FROM r""",
+    "m01_loo_mean": _loo_sql(_FM, "canonical_smiles"),
+    "m01_loo_mean_molecule": _loo_sql(_MOLECULES, "molecule"),
+    "m07_memoriser": _memoriser_sql(_FM, "canonical_smiles"),
+    "m07_memoriser_molecule": _memoriser_sql(_MOLECULES, "molecule"),
     "a11_metrics": """
 WITH p AS (SELECT nullif(upper(regexp_replace(primary_parent_id, '[^A-Za-z0-9]', '', 'g')), '') AS k, n_unique_methods, pred_pIC50 AS p FROM lead_selection_relaxed_pool
   WHERE pred_pIC50 IS NOT NULL AND NOT pred_pIC50::VARCHAR = 'nan'),
@@ -280,10 +309,8 @@ p AS (SELECT q.vec_id AS query_id, e.vec_id AS row_id, e.label, bit_count(q.w &
   FROM e q JOIN e ON q.vec_id % {EVERY} = 0 AND q.vec_id <> e.vec_id),
 t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, row_id) <= 5)
 SELECT query_id, round(sum((s + 1e-8) * label) / sum(s + 1e-8), 6) AS prediction FROM t GROUP BY 1""",
-    "j15_within_radius": f"""
-WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
-d AS (SELECT p.vec_id AS point_id, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d FROM p JOIN p q ON q.vec_id % {EVERY} = 1)
-SELECT point_id, count(*) AS n_near, round(sqrt(min(d)), 6) AS least FROM d WHERE d <= 0.1 * 0.1 GROUP BY 1""",
+    "j15_within_radius": _near_sql(f"AND q.vec_id % {EVERY} = 0"),
+    "j15_within_radius_all": _near_sql(""),
     "d02_diverse": f"""
 WITH RECURSIVE o AS MATERIALIZED (SELECT vec_id, label, {_SIGNS} AS w, row_number() OVER (ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS i FROM embeddings),
 a(i, n, ids, labels, ws) AS (SELECT 0::BIGINT, 0, []::BIGINT[], []::INT[], []::UBIGINT[] UNION ALL {_D02.format(cond=f'({_D02_CAP} AND {_D02_NEW})', t='a')}),
@@ -295,14 +322,9 @@ SELECT l_orderkey, max(l_quantity) FILTER (l_returnflag = 'A') AS most_a, max(l_
     "e08_site_transforms": f"""
 WITH m AS (SELECT DISTINCT {_TIDY} AS s FROM final_model_feature_matrix WHERE {_TIDY} IS NOT NULL), e AS {_sites_sql('m', 's')}
 SELECT label, product, parent, site FROM e QUALIFY row_number() OVER (PARTITION BY label, product ORDER BY parent, site) = 1""",
-    "e16_levels": f"""
-WITH z AS (SELECT DISTINCT {_TIDY} AS s FROM final_model_feature_matrix WHERE row_id % {EVERY} = 0 AND {_TIDY} IS NOT NULL),
-a AS (SELECT product AS s, min(parent) AS root FROM {_sites_sql('z', 's')} WHERE length(product) <= 120 AND product NOT IN (SELECT s FROM z) GROUP BY 1),
-b AS (SELECT product AS s, min(root) AS root FROM {_sites_sql('a', 's')} JOIN a ON a.s = parent WHERE length(product) <= 120 AND product NOT IN (SELECT s FROM z UNION ALL SELECT s FROM a) GROUP BY 1)
-SELECT s AS product, 1::BIGINT AS depth, root FROM a UNION ALL SELECT s, 2, root FROM b""",
+    "e16_levels": _levels_sql(2),
+    "e16_levels_all": _levels_sql(3),
 }
 #: Models are fitted in several passes, which SQL cannot say; they are tested on held-out molecules.
 WITHOUT_SQL = ["m12_grouped_ridge", "m06_forest", "m14_consensus", "m16_importances"]
-#: The whole job where the SQL of the query of the same start says a part of it; tested against brute force.
-WHOLE = ["e16_levels_all", "m01_loo_mean_molecule", "m07_memoriser_molecule", "j15_within_radius_all"]
-QUERIES = {k: globals()[k] for k in [*SQL, *WITHOUT_SQL, *WHOLE]}
+QUERIES = {k: globals()[k] for k in [*SQL, *WITHOUT_SQL]}
