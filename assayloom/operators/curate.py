@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.expr import known
+from assayloom.functions.expr import four_digits, known, label_flags
 
 #: Packed fields of a product's rows, and the names of their counts.
 LINEAGE = {"methods": "n_methods", "parent_ids": "n_parents", "transforms": "n_transforms"}
@@ -31,6 +31,26 @@ def consolidate(df: DataFrame, key: Column, value: str, code: str, row_id: str)
     )
 
 
+def group_values(df: DataFrame, key: Column, name: str, value: str, code: str, row_id: str) -> DataFrame:
+    """One row per key: n_rows, compound_ids, first_id (of the smallest row_id), pic50_values, ic50_values, has_measured, has_active_unmeasured,
+    has_inactive.
+
+    Names and values are distinct, in ascending order, joined by ;, values with four digits: a cell is as long as the number of different
+    ones, not of rows, which are combined before the shuffle. Null and NaN values are left out; a cell without any is null.
+    """
+    rows = df.select(key.alias("key"), F.col(name).alias("name"), known(value).alias("v"), F.col(code).alias("c"), F.col(row_id).alias("r")).where("key IS NOT NULL")
+    flags = label_flags(F.col("c"))
+    groups = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("r", "name"))["name"].alias("first_id"), F.bool_or(flags["is_measured"]).alias("has_measured"),
+        F.bool_or(flags["is_active_unmeasured"]).alias("has_active_unmeasured"), F.bool_or(flags["is_inactive"]).alias("has_inactive"),
+    )
+    for column, text, out in (("name", F.col("name"), "compound_ids"), ("v", four_digits("v"), "pic50_values"), ("c", four_digits(F.col("c").cast("double")), "ic50_values")):
+        distinct = rows.where(F.col(column).isNotNull()).select("key", column).distinct().withColumn("_t", text)
+        joined = F.transform(F.sort_array(F.collect_list(F.struct(column, "_t"))), lambda x: x["_t"])
+        groups = groups.join(distinct.groupBy("key").agg(F.array_join(joined, ";").alias(out)), "key", "left")
+    return groups
+
+
 def lineage(values: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """One row per key: its first row and parent, and what each of its packed fields (LINEAGE) holds: the distinct values, sorted and joined,
     and how many there are (null and 0 where there are none).

@@ -1,8 +1,9 @@
 """Constrained portfolios: the greedy choice of a few rows in a given order, under caps.
 
 The choice depends on what was chosen before, so it cannot be a window. It needs no more than a prefix of the order, though, whose length
-is unknown: the frame is read in ordered blocks of bounded size, each one filtered by the caps that are already reached, until the
-portfolio is full or nothing is left. The portfolio itself and one block at a time reach the driver.
+is unknown: the frame is read in ordered blocks of bounded size, each one filtered by the caps that are already reached and by what is
+chosen, until the portfolio is full or nothing is left. The first row of a block passes all tests, so each scan adds a row and there are at
+most wanted + 1 scans a pass, whatever the size of the frame. The portfolio itself and one block at a time reach the driver.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ def tanimoto(a: list[int], b: list[int]) -> float:
 
 
 def greedy_portfolio(
-    df: DataFrame, order: list[tuple[str, bool]], wanted: int, caps: dict[str, int], spread: str | None = None, prints: str | None = None, ceiling: float = 1.0, exempt: int = 3
-) -> DataFrame:
+    df: DataFrame, order: list[tuple[str, bool]], wanted: int, caps: dict[str, int], spread: str | None = None, prints: str | None = None, ceiling: float = 1.0, exempt: int = 3,
+    only: dict[str, list] | None = None,
+) -> DataFrame:
     """df's rows that are chosen, with place (from 1).
 
     order: (column, descending), the last one unique; nulls come last. caps: at most so many rows of one value of a column (null is a
-    value). First pass, in order: a row is taken if no cap is reached and, after the first `exempt`, its value of `spread` is not chosen
+    value), of the values that `only` names for it if it does. First pass, in order: a row is taken if no cap is reached and, after the first `exempt`, its value of `spread` is not chosen
     yet or its fingerprint (`prints`, an array of 64-bit words) is less similar than `ceiling` to all that are chosen. Second pass: the free
     places are filled in order under the caps alone. An empty frame gives no rows.
     """
@@ -39,7 +41,10 @@ def greedy_portfolio(
 
     def full(column: str) -> list:
         held = [r[column] for r in chosen]
-        return [v for v in dict.fromkeys(held) if held.count(v) >= caps[column]]
+        return [v for v in dict.fromkeys(held) if held.count(v) >= caps[column] and capped(column, v)]
+
+    def capped(column: str, value) -> bool:
+        return not only or column not in only or value in only[column]
 
     def excluded(column: str, values: list) -> Column:
         plain = [v for v in values if v is not None]
@@ -93,7 +98,7 @@ def greedy_portfolio(
                 if len(chosen) == wanted:
                     break
                 held = {c: sum(r[c] == row[c] for r in chosen) for c in caps}
-                if any(held[c] >= caps[c] for c in caps):
+                if any(held[c] >= caps[c] and capped(c, row[c]) for c in caps):
                     continue
                 if varied and len(chosen) >= exempt and not varied_enough(row):
                     continue

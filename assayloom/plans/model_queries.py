@@ -196,12 +196,25 @@ def g10_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.max("l_quantity")).withColumnsRenamed({"A": "most_a", "N": "most_n", "R": "most_r"})
 
 
+def _diverse(spark: SparkSession, sf_dir: str, wanted: int, caps: dict[str, int], ceiling: float, exempt: int) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("score"), sign_words("embedding", 64).alias("words"))
+    return greedy_portfolio(stored(rows, "signs"), [("score", True), ("vec_id", False)], wanted, caps, "label", "words", ceiling, exempt).select("vec_id", "place")
+
+
 def d02_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """12 embeddings in the order of their first value, at most 2 of a label; after 3, of a new label or less than 0.45 similar to those chosen
     by the signs of 64 dimensions; what is left free is filled in order."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("score"), sign_words("embedding", 64).alias("words"))
-    chosen = greedy_portfolio(stored(rows, "signs"), [("score", True), ("vec_id", False)], 12, {"label": 2}, "label", "words", 0.45)
-    return chosen.select("vec_id", "place")
+    return _diverse(spark, sf_dir, 12, {"label": 2}, 0.45, 3)
+
+
+def d03_diverse_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 embeddings as in d02_diverse, at most 3 of a label; after 4, of a new label or less than 0.40 similar."""
+    return _diverse(spark, sf_dir, 30, {"label": 3}, 0.40, 4)
+
+
+def d04_diverse_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 embeddings as in d02_diverse without a cap; after 4, of a new label or less than 0.35 similar."""
+    return _diverse(spark, sf_dir, 30, {}, 0.35, 4)
 
 
 def e08_site_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,10 +284,24 @@ def _levels_sql(depth: int) -> str:
     return out + " " + " UNION ALL ".join(f"SELECT s AS product, {d}::BIGINT AS depth, root FROM l{d}" for d in range(1, depth + 1))
 
 
-_D02 = """SELECT r.i, n + {cond}::INT, CASE WHEN {cond} THEN list_append(ids, r.vec_id) ELSE ids END, CASE WHEN {cond} THEN list_append(labels, r.label) ELSE labels END,
-  CASE WHEN {cond} THEN list_append(ws, r.w) ELSE ws END FROM {t} JOIN o r ON r.i = {t}.i + 1 WHERE n < 12"""
-_D02_CAP = "n < 12 AND len(list_filter(labels, lambda v: v = r.label)) < 2"
-_D02_NEW = """(n < 3 OR NOT list_contains(labels, r.label) OR len(list_filter(ws, lambda v: bit_count(v & r.w) >= 0.45 * (bit_count(v) + bit_count(r.w) - bit_count(v & r.w)))) = 0)"""
+def _diverse_sql(wanted: int, cap: int | None, ceiling: float, exempt: int) -> str:
+    """The greedy choice among the embeddings, by their labels and the signs of 64 dimensions."""
+    capped = f"n < {wanted}" + (f" AND len(list_filter(labels, lambda v: v = r.label)) < {cap}" if cap else "")
+    far = f"bit_count(v & r.w) >= {ceiling} * (bit_count(v) + bit_count(r.w) - bit_count(v & r.w))"
+    new = f"(n < {exempt} OR NOT list_contains(labels, r.label) OR len(list_filter(ws, lambda v: {far})) = 0)"
+
+    def step(cond: str, t: str) -> str:
+        return f"""SELECT r.i, n + {cond}::INT, CASE WHEN {cond} THEN list_append(ids, r.vec_id) ELSE ids END, CASE WHEN {cond} THEN list_append(labels, r.label) ELSE labels END,
+  CASE WHEN {cond} THEN list_append(ws, r.w) ELSE ws END FROM {t} JOIN o r ON r.i = {t}.i + 1 WHERE n < {wanted}"""
+
+    return f"""
+WITH RECURSIVE o AS MATERIALIZED (SELECT vec_id, label, {_SIGNS} AS w, row_number() OVER (ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS i FROM embeddings),
+a(i, n, ids, labels, ws) AS (SELECT 0::BIGINT, 0, []::BIGINT[], []::INT[], []::UBIGINT[] UNION ALL {step(f'({capped} AND {new})', 'a')}),
+b(i, n, ids, labels, ws) AS (SELECT * FROM (SELECT 0::BIGINT, n, ids, labels, ws FROM a ORDER BY i DESC LIMIT 1)
+  UNION ALL {step(f'({capped} AND NOT list_contains(ids, r.vec_id))', 'b')})
+SELECT unnest(ids) AS vec_id, unnest(range(1, len(ids) + 1)) AS place FROM (SELECT ids FROM b ORDER BY i DESC LIMIT 1)"""
+
+
 SQL = {
     "a14_nearest": _PAIRS
     + """SELECT query_id, row_id AS nearest_id, round(similarity, 6) AS max_similarity, mean_similarity, n_compared FROM (
@@ -311,12 +338,9 @@ t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT query_id, round(sum((s + 1e-8) * label) / sum(s + 1e-8), 6) AS prediction FROM t GROUP BY 1""",
     "j15_within_radius": _near_sql(f"AND q.vec_id % {EVERY} = 0"),
     "j15_within_radius_all": _near_sql(""),
-    "d02_diverse": f"""
-WITH RECURSIVE o AS MATERIALIZED (SELECT vec_id, label, {_SIGNS} AS w, row_number() OVER (ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS i FROM embeddings),
-a(i, n, ids, labels, ws) AS (SELECT 0::BIGINT, 0, []::BIGINT[], []::INT[], []::UBIGINT[] UNION ALL {_D02.format(cond=f'({_D02_CAP} AND {_D02_NEW})', t='a')}),
-b(i, n, ids, labels, ws) AS (SELECT * FROM (SELECT 0::BIGINT, n, ids, labels, ws FROM a ORDER BY i DESC LIMIT 1)
-  UNION ALL {_D02.format(cond=f'({_D02_CAP} AND NOT list_contains(ids, r.vec_id))', t='b')})
-SELECT unnest(ids) AS vec_id, unnest(range(1, len(ids) + 1)) AS place FROM (SELECT ids FROM b ORDER BY i DESC LIMIT 1)""",
+    "d02_diverse": _diverse_sql(12, 2, 0.45, 3),
+    "d03_diverse_capped": _diverse_sql(30, 3, 0.40, 4),
+    "d04_diverse_uncapped": _diverse_sql(30, None, 0.35, 4),
     "g10_pivot": """
 SELECT l_orderkey, max(l_quantity) FILTER (l_returnflag = 'A') AS most_a, max(l_quantity) FILTER (l_returnflag = 'N') AS most_n, max(l_quantity) FILTER (l_returnflag = 'R') AS most_r FROM lineitem GROUP BY 1""",
     "e08_site_transforms": f"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions import expr as E
-from assayloom.operators.curate import LINEAGE, consolidate, lineage
+from assayloom.operators.curate import LINEAGE, consolidate, group_values, lineage
 from assayloom.operators.packed import unpack
 from assayloom.operators.portfolio import greedy_portfolio
 from assayloom.operators.ranking import capped, first_by, ranked
@@ -37,6 +37,11 @@ def a01_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("target", r6("target")).withColumnRenamed("key", "id_key")
 
 
+def a01_group_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each compound's rows hold: its spellings and values, joined, the first row's spelling, and which kinds of label occur."""
+    return group_values(table(spark, sf_dir, "raw_compounds"), E.key_of("id"), "id", "pIC50", "ic50", "row_id").withColumnRenamed("key", "id_key")
+
+
 def a02_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each product's first row and parent, and the parents, methods and transforms of all its rows: distinct, sorted, joined and counted."""
     pool = table(spark, sf_dir, POOL).where("product_smiles IS NOT NULL")
@@ -188,17 +193,59 @@ def d05_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return primary.select("row_id", "place", F.lit("primary").alias("part")).unionByName(backup.select("row_id", "place", F.lit("backup").alias("part")))
 
 
+def _leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "row_id", "product_smiles", "scaffold", E.key_of("primary_parent_id").alias("parent"), E.known("orthogonal_composite_score").alias("score")
+    return stored(table(spark, sf_dir, POOL).select(*columns), "pool")
+
+
+def _mode(df: DataFrame, column: str) -> list:
+    """The most frequent value, the smallest of equals; none of an empty frame. One row reaches the driver."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return [r[0] for r in counts.orderBy(F.desc("n"), column).limit(1).collect()]
+
+
+def _not_taken(pool: DataFrame, primary: DataFrame) -> DataFrame:
+    """Rows of other products than the chosen ones, of which there are a few."""
+    rest = pool.join(F.broadcast(primary.select("row_id")), "row_id", "left_anti")
+    return rest.join(F.broadcast(primary.select("product_smiles")), "product_smiles", "left_anti")
+
+
+def _parts(primary: DataFrame, backup: DataFrame) -> DataFrame:
+    return primary.select("row_id", "place", F.lit("primary").alias("part")).unionByName(backup.select("row_id", "place", F.lit("backup").alias("part")))
+
+
+def d01_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 leads in the order of score, without the products of the ranked compounds: at most 4 of the pool's most frequent scaffold, any
+    number of the others, and 2 of a parent; new scaffolds first, the rest filled in order."""
+    known = table(spark, sf_dir, "ranked_compounds").select(F.col("canonical_smiles").alias("product_smiles"))
+    pool = _leads(spark, sf_dir).join(known, "product_smiles", "left_anti")
+    chosen = greedy_portfolio(pool, [("score", True), ("row_id", False)], 40, {"scaffold": 4, "parent": 2}, spread="scaffold", only={"scaffold": _mode(pool, "scaffold")})
+    return chosen.select("row_id", "place")
+
+
+def d06_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 primary leads with at most 4 of the most frequent scaffold, and 6 backups of other products and of other parents than the one most
+    frequent among the primary; where there are no such rows, of any parent."""
+    pool, order = _leads(spark, sf_dir), [("score", True), ("row_id", False)]
+    primary = stored(greedy_portfolio(pool, order, 8, {"scaffold": 4}, spread="scaffold", only={"scaffold": _mode(pool, "scaffold")}), "primary")
+    others = pool.where(~F.coalesce(F.col("parent").isin(_mode(primary, "parent")), F.lit(False)))
+    source = pool if others.isEmpty() else others
+    return _parts(primary, greedy_portfolio(_not_taken(source, primary), order, 6, {}, spread="scaffold"))
+
+
 def d05_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 primary leads, at most 2 of a parent and 2 of a scaffold, and 6 backups of other products, at most 2 of a parent; in both, new
     scaffolds first, the rest filled in order."""
-    columns = "row_id", "product_smiles", "scaffold", E.key_of("primary_parent_id").alias("parent"), E.known("orthogonal_composite_score").alias("score")
-    pool = stored(table(spark, sf_dir, POOL).select(*columns), "pool")
-    order = [("score", True), ("row_id", False)]
+    pool, order = _leads(spark, sf_dir), [("score", True), ("row_id", False)]
     primary = stored(greedy_portfolio(pool, order, 8, {"scaffold": 2, "parent": 2}, spread="scaffold"), "primary")
-    rest = pool.join(F.broadcast(primary.select("row_id")), "row_id", "left_anti")  # 8 rows
-    rest = rest.join(F.broadcast(primary.select("product_smiles")), "product_smiles", "left_anti")
-    backup = greedy_portfolio(rest, order, 6, {"parent": 2}, spread="scaffold")
-    return primary.select("row_id", "place", F.lit("primary").alias("part")).unionByName(backup.select("row_id", "place", F.lit("backup").alias("part")))
+    return _parts(primary, greedy_portfolio(_not_taken(pool, primary), order, 6, {"parent": 2}, spread="scaffold"))
+
+
+def f22_backup_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pool rows whose product is none of an original positive's (anti membership); rows without a product stay."""
+    pool = table(spark, sf_dir, POOL).select("row_id", "product_smiles", "is_original_positive")
+    taken = pool.where("is_original_positive AND product_smiles IS NOT NULL").select("product_smiles").distinct()
+    return pool.join(taken, "product_smiles", "left_anti").select("row_id")
 
 
 def k03_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,13 +296,14 @@ _NAN = "CASE WHEN {0}::VARCHAR = 'nan' THEN NULL ELSE {0} END"
 _CLEAN = "regexp_replace(id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
 
 
-def _greedy(name: str, source: str, wanted: int, parent: int, scaffold: int | None = None) -> str:
-    """The greedy choice in SQL: rows in order, one recursion step each, the chosen ones in lists."""
-    caps = f"len(list_filter(parents, lambda v: v IS NOT DISTINCT FROM r.parent)) < {parent}"
-    spread = ""
+def _greedy(name: str, source: str, wanted: int, parent: int | None = None, scaffold: int | None = None, spread: bool | None = None, dominant: str | None = None) -> str:
+    """The greedy choice in SQL: rows in order, one recursion step each, the chosen ones in lists. dominant: the one scaffold that has a cap."""
+    spread = bool(scaffold) if spread is None else spread
+    caps = f"len(list_filter(parents, lambda v: v IS NOT DISTINCT FROM r.parent)) < {parent}" if parent else "TRUE"
     if scaffold:
-        caps += f" AND len(list_filter(scaffolds, lambda v: v IS NOT DISTINCT FROM r.scaffold)) < {scaffold}"
-        spread = " AND (n < 3 OR len(list_filter(scaffolds, lambda v: v IS NOT DISTINCT FROM r.scaffold)) = 0)"
+        cap = f"len(list_filter(scaffolds, lambda v: v IS NOT DISTINCT FROM r.scaffold)) < {scaffold}"
+        caps += f" AND (r.scaffold IS DISTINCT FROM {dominant} OR {cap})" if dominant else f" AND {cap}"
+    new = " AND (n < 3 OR len(list_filter(scaffolds, lambda v: v IS NOT DISTINCT FROM r.scaffold)) = 0)" if spread else ""
     take = f"(n < {wanted} AND {caps}{{0}})"
     columns = "i, n, ids, parents, scaffolds"
 
@@ -266,16 +314,27 @@ def _greedy(name: str, source: str, wanted: int, parent: int, scaffold: int | No
         )
 
     first = f"""{name}_a({columns}) AS (SELECT 0::BIGINT, 0, []::BIGINT[], []::VARCHAR[], []::VARCHAR[]
-  UNION ALL {step(take.format(spread))} FROM {name}_a JOIN {source} r ON r.i = {name}_a.i + 1 WHERE n < {wanted})"""
-    if not scaffold:
-        return first + f", {name} AS (SELECT ids FROM {name}_a ORDER BY i DESC LIMIT 1)"
+  UNION ALL {step(take.format(new))} FROM {name}_a JOIN {source} r ON r.i = {name}_a.i + 1 WHERE n < {wanted})"""
+    if not spread:
+        return first + f", {name} AS (SELECT ids, parents FROM {name}_a ORDER BY i DESC LIMIT 1)"
     fresh = take.format("")[:-1] + " AND NOT list_contains(ids, r.row_id))"
     return first + f""", {name}_b({columns}) AS (SELECT * FROM (SELECT 0::BIGINT, n, ids, parents, scaffolds FROM {name}_a ORDER BY i DESC LIMIT 1)
-  UNION ALL {step(fresh)} FROM {name}_b JOIN {source} r ON r.i = {name}_b.i + 1 WHERE n < {wanted}), {name} AS (SELECT ids FROM {name}_b ORDER BY i DESC LIMIT 1)"""
+  UNION ALL {step(fresh)} FROM {name}_b JOIN {source} r ON r.i = {name}_b.i + 1 WHERE n < {wanted}), {name} AS (SELECT ids, parents FROM {name}_b ORDER BY i DESC LIMIT 1)"""
+
+
+def _behind(where: str) -> str:
+    """What is left of the ordered rows, numbered anew."""
+    return f"rest AS MATERIALIZED (SELECT * EXCLUDE (i), row_number() OVER (ORDER BY i) AS i FROM o WHERE NOT list_contains((SELECT ids FROM g), row_id) AND {where})"
+
+
+_PARTS = """SELECT unnest(ids) AS row_id, unnest(range(1, len(ids) + 1)) AS place, 'primary' AS part FROM g
+UNION ALL SELECT unnest(ids), unnest(range(1, len(ids) + 1)), 'backup' FROM h"""
+_MODE = "(SELECT scaffold FROM o WHERE scaffold IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, scaffold LIMIT 1)"
+_TAKEN = "product_smiles IS NULL OR product_smiles NOT IN (SELECT product_smiles FROM o WHERE product_smiles IS NOT NULL AND list_contains((SELECT ids FROM g), row_id))"
 
 
 _ORDERED = f"""SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, row_id) AS i FROM (
-  SELECT row_id, scaffold, {_PARENT} AS parent, {_NAN.format('orthogonal_composite_score')} AS score FROM lead_selection_relaxed_pool)"""
+  SELECT row_id, product_smiles, scaffold, {_PARENT} AS parent, {_NAN.format('orthogonal_composite_score')} AS score FROM lead_selection_relaxed_pool)"""
 _OF = "(SELECT array_to_string(list_sort(list(DISTINCT value)), ';') AS {0}, count(DISTINCT value) AS {1}, product_smiles FROM v WHERE field_name = '{0}' GROUP BY product_smiles)"
 SQL = {
     "a02_lineage": f"""
@@ -293,6 +352,13 @@ SELECT id_key, round(coalesce(median(v) FILTER (m), median(v)), 6) AS target, co
   count_if(NOT m)::BIGINT AS n_assigned, min(row_id) AS first_row,
   CASE WHEN count_if(m) = 0 THEN 'assigned_median' WHEN count_if(m) < count(*) THEN 'mixed_duplicate_measured_median' ELSE 'measured_median' END AS origin
 FROM r WHERE id_key IS NOT NULL GROUP BY id_key""",
+    "a01_group_values": f"""
+WITH r AS (SELECT {_ID} AS id_key, id, {_NAN.format('pIC50')} AS v, ic50 AS c, row_id FROM raw_compounds WHERE {_ID} IS NOT NULL)
+SELECT id_key, count(*) AS n_rows, array_to_string(list_sort(list(DISTINCT id)), ';') AS compound_ids, arg_min_null(id, row_id) AS first_id,
+  array_to_string(list_transform(list_sort(list(DISTINCT v) FILTER (v IS NOT NULL)), lambda x: format('{{:.4g}}', x)), ';') AS pic50_values,
+  array_to_string(list_transform(list_sort(list(DISTINCT c) FILTER (c IS NOT NULL)), lambda x: format('{{:.4g}}', x::DOUBLE)), ';') AS ic50_values,
+  coalesce(bool_or(c > 0), false) AS has_measured, coalesce(bool_or(c = 0), false) AS has_active_unmeasured, coalesce(bool_or(c = -1), false) AS has_inactive
+FROM r GROUP BY 1""",
     "a04_by_parent": f"SELECT {_PARENT} AS parent, count(*) AS n_rows, count(DISTINCT product_smiles) AS n_products, count(DISTINCT scaffold) AS n_scaffolds FROM lead_selection_relaxed_pool GROUP BY 1",
     "a06_value_counts": "SELECT scaffold, count(*) AS n_rows FROM lead_selection_relaxed_pool GROUP BY 1",
     "a09_summary": f"""
@@ -340,6 +406,19 @@ WITH RECURSIVE o AS MATERIALIZED ({_ORDERED}), {_greedy('g', 'o', 40, 2, 2)} SEL
 WITH RECURSIVE o AS MATERIALIZED ({_ORDERED}), {_greedy('g', 'o', 20, 2)},
   rest AS MATERIALIZED (SELECT * EXCLUDE (i), row_number() OVER (ORDER BY i) AS i FROM o WHERE NOT list_contains((SELECT ids FROM g), row_id)), {_greedy('h', 'rest', 20, 3)}
 SELECT unnest(ids) AS row_id, unnest(range(1, len(ids) + 1)) AS place, 'primary' AS part FROM g UNION ALL SELECT unnest(ids), unnest(range(1, len(ids) + 1)), 'backup' FROM h""",
+    "d01_dominant": f"""
+WITH RECURSIVE o AS MATERIALIZED ({_ORDERED} WHERE product_smiles IS NULL OR product_smiles NOT IN (SELECT canonical_smiles FROM ranked_compounds WHERE canonical_smiles IS NOT NULL)),
+  {_greedy('g', 'o', 40, 2, 4, dominant=_MODE)} SELECT unnest(ids) AS row_id, unnest(range(1, len(ids) + 1)) AS place FROM g""",
+    "d05_split": f"""
+WITH RECURSIVE o AS MATERIALIZED ({_ORDERED}), {_greedy('g', 'o', 8, 2, 2)}, {_behind(f'({_TAKEN})')}, {_greedy('h', 'rest', 6, 2, spread=True)} {_PARTS}""",
+    "d06_robust": f"""
+WITH RECURSIVE o AS MATERIALIZED ({_ORDERED}), {_greedy('g', 'o', 8, None, 4, dominant=_MODE)},
+  d AS (SELECT p FROM (SELECT unnest(parents) AS p FROM g) WHERE p IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, p LIMIT 1),
+  {_behind(f'({_TAKEN}) AND (parent IS DISTINCT FROM (SELECT p FROM d) OR NOT EXISTS (SELECT 1 FROM o WHERE parent IS DISTINCT FROM (SELECT p FROM d)))')},
+  {_greedy('h', 'rest', 6, spread=True)} {_PARTS}""",
+    "f22_backup_source": """
+SELECT row_id FROM lead_selection_relaxed_pool WHERE product_smiles IS NULL
+  OR product_smiles NOT IN (SELECT product_smiles FROM lead_selection_relaxed_pool WHERE is_original_positive AND product_smiles IS NOT NULL)""",
     "k03_partitioned": f"SELECT row_id, coalesce(lab, 'none') AS lab, {_NAN.format('pIC50')} AS pIC50 FROM raw_compounds WHERE lab = 'lumia_hts' OR lab IS NULL",
     "a08_similarity_stats": f"""
 SELECT n_unique_methods, count(s) AS n, round(avg(s), 6) AS mean, round(median(s), 6) AS median, min(s) AS least, max(s) AS most
@@ -355,6 +434,4 @@ SELECT row_id FROM lead_selection_relaxed_pool WHERE {_PARENT} IN (SELECT {_KEY.
     "x01_stream_windows": """
 SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n_rows, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1, 2""",
 }
-#: Tested against brute force.
-WITHOUT_SQL = ["d05_split"]
-QUERIES = {k: globals()[k] for k in [*SQL, *WITHOUT_SQL]}
+QUERIES = {k: globals()[k] for k in SQL}
