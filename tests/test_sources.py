@@ -66,3 +66,45 @@ def test_order_of_files_does_not_matter(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = {(r.file.rsplit("/", 1)[1], r.name, r.smiles) for r in R.read_smiles_list(spark, str(tmp_path)).collect()}
     assert got == {("b.smi", "cmpd_1", "CC"), ("a.smi", "cmpd_2", "CCC"), ("a.smi", "cmpd_3", "N")}
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    names = [f"C{i}" if i % 3 else "" for i in range(2000)]
+    (tmp_path / "long.smi").write_text("\n".join(names) + "\n")
+    (tmp_path / "short.smi").write_text("N\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(str(tmp_path / "long.smi")).rdd.getNumPartitions() > 3
+        got = {(r.file.rsplit("/", 1)[1], r.name, r.smiles) for r in R.read_smiles_list(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("long.smi", f"cmpd_{i + 1}", n) for i, n in enumerate(names) if n} | {("short.smi", "cmpd_1", "N")}
+
+
+def test_ligand_of_a_structure(spark, tmp_path):
+    more = "HETATM 2358  H1  ZQ1 A 301       1.000  -2.000   3.250  1.00  0.00           H\nHETATM 2359  C1  ZQ1 B 301       9.000  -2.000   3.250  1.00  0.00\n"
+    (tmp_path / "a.pdb").write_text(PDB.replace("CONECT 2357 2358 2360", "CONECT 2357 2358 2360\nCONECT 2358 2357") + more)
+    atoms, bonds = R.read_atoms(spark, str(tmp_path)), R.read_bonds(spark, str(tmp_path))
+    own = R.ligand(atoms, "A", "ZQ1", 301)
+    assert sorted(r.serial for r in own.collect()) == [2357, 2358] and [r.serial for r in R.heavy(own).collect()] == [2357]
+    assert {(r.serial, r.partner) for r in R.ligand_bonds(bonds, own).collect()} == {(2357, 2358)}
+    assert R.ligand(atoms, "A", "ZQ1", 1).count() == 0
+
+
+def test_pose_coordinates(spark, tmp_path):
+    atom = "ATOM      {n}  C   LIG A   1      {x:6.3f}   6.134  -6.504  1.00  0.00     0.123 C \n"
+    text = "".join(f"MODEL {m}\nREMARK VINA RESULT:    {-7.5 + m}      0.000      0.000\nROOT\n" + atom.format(n=1, x=m) + atom.format(n=2, x=m + 5) + "ENDMDL\n" for m in (1, 2))
+    (tmp_path / "a.pdbqt").write_text(text)
+    (tmp_path / "b.pdbqt").write_text(atom.format(n=1, x=3))
+    got = {(r.file.rsplit("/", 1)[1], r.model, r.serial, r.x, r.kind, r.affinity) for r in R.read_pose_atoms(spark, str(tmp_path)).collect()}
+    assert got == {("a.pdbqt", m, n, m + 5.0 * (n - 1), "C", -7.5 + m) for m in (1, 2) for n in (1, 2)} | {("b.pdbqt", 1, 1, 3.0, "C", None)}
+
+
+def test_matrix_with_row_labels(spark, tmp_path):
+    df = spark.createDataFrame([("b", "x", 1.5), ("a", "y", 2.0), ("a", "x", None), ("c", None, 3.0)], "r string, c string, v double")
+    R.write_matrix(df, "r", "c", "v", str(tmp_path / "m"))
+    got = [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "m")).orderBy("r").collect()]
+    assert got == [("a", None, "2.0"), ("b", "1.5", None), ("c", None, None)]
+    with pytest.raises(ValueError):
+        R.write_matrix(df, "r", "c", "v", str(tmp_path / "n"), most=1)
