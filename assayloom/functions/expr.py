@@ -46,6 +46,15 @@ def number(c: str | Column) -> Column:
     return known((F.col(c) if isinstance(c, str) else c).cast("string").try_cast("double"))
 
 
+def require_known(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, if none of these numbers is null or NaN; else an error that says how many of each are. One scan."""
+    row = df.agg(*[F.count_if(known(c).isNull()).alias(c) for c in columns]).collect()[0]  # one row
+    unknown = {c: row[c] for c in columns if row[c]}
+    if unknown:
+        raise ValueError(f"Numeric parsing failed: {unknown}")
+    return df
+
+
 def label_flags(code: Column) -> dict[str, Column]:
     """Independent flags of a label code: above 0 measured, 0 active without number, -1 inactive; other codes set none."""
     flags = {"is_measured": code > 0, "is_active_unmeasured": code == 0, "is_inactive": code == -1, "is_assigned": code.isin(0, -1)}

@@ -46,3 +46,8 @@ def heavy_weight(smiles: Column) -> Column:
     """Weight of the atoms other than hydrogen; null where an element is not in WEIGHTS."""
     table = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     return F.aggregate(F.transform(atoms(smiles), lambda a: table[element(a)]), F.lit(0.0), lambda s, w: s + w)
+
+
+def one_molecule(s: Column) -> Column:
+    """Whether a SMILES is of one component and has no open site (a dummy atom, *); null and blank strings are of none."""
+    return F.coalesce((F.trim(s) != "") & ~F.contains(s, F.lit(".")) & ~F.contains(s, F.lit("*")), F.lit(False))

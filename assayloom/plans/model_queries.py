@@ -245,6 +245,12 @@ def e08_site_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_products(apply_transforms(parents, TRANSFORMS)).select("label", "product", "parent", "site")
 
 
+def o02_sorted_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library of e08_site_transforms in the order of label and product, each with its place and a label that names the site."""
+    products = ranked(e08_site_transforms(spark, sf_dir), {"label": False, "product": False}, "place")
+    return products.select("place", "product", F.concat("label", F.lit("_at_"), "site").alias("label"))
+
+
 def e16_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two rounds of transforms reach from the feature matrix's molecules, all of them and at any length."""
     parents = table(spark, sf_dir, "final_model_feature_matrix").select(E.tidy("canonical_smiles").alias("parent")).where("parent IS NOT NULL").distinct()
@@ -324,6 +330,9 @@ b(i, n, ids, labels, ws) AS (SELECT * FROM (SELECT 0::BIGINT, n, ids, labels, ws
 SELECT unnest(ids) AS vec_id, unnest(range(1, len(ids) + 1)) AS place FROM (SELECT ids FROM b ORDER BY i DESC LIMIT 1)"""
 
 
+_SITES = f"""
+WITH m AS (SELECT DISTINCT {_TIDY} AS s FROM final_model_feature_matrix WHERE {_TIDY} IS NOT NULL), e AS {_sites_sql('m', 's')}
+SELECT label, product, parent, site FROM e QUALIFY row_number() OVER (PARTITION BY label, product ORDER BY parent, site) = 1"""
 SQL = {
     "a14_nearest": _PAIRS
     + """SELECT query_id, row_id AS nearest_id, round(similarity, 6) AS max_similarity, mean_similarity, n_compared FROM (
@@ -365,9 +374,8 @@ SELECT query_id, round(sum((s + 1e-8) * label) / sum(s + 1e-8), 6) AS prediction
     "d04_diverse_uncapped": _diverse_sql(30, None, 0.35, 4),
     "g10_pivot": """
 SELECT l_orderkey, max(l_quantity) FILTER (l_returnflag = 'A') AS most_a, max(l_quantity) FILTER (l_returnflag = 'N') AS most_n, max(l_quantity) FILTER (l_returnflag = 'R') AS most_r FROM lineitem GROUP BY 1""",
-    "e08_site_transforms": f"""
-WITH m AS (SELECT DISTINCT {_TIDY} AS s FROM final_model_feature_matrix WHERE {_TIDY} IS NOT NULL), e AS {_sites_sql('m', 's')}
-SELECT label, product, parent, site FROM e QUALIFY row_number() OVER (PARTITION BY label, product ORDER BY parent, site) = 1""",
+    "e08_site_transforms": _SITES,
+    "o02_sorted_library": f"SELECT row_number() OVER (ORDER BY label, product) AS place, product, label || '_at_' || site AS label FROM ({_SITES})",
     "e16_levels": _levels_sql(2),
     "e16_levels_all": _levels_sql(3),
 }

@@ -82,6 +82,30 @@ def expr_p19_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row_id", r6("a").alias("admet_score"), r6("p").alias("property_score"), r6(total).alias("composite"))
 
 
+def expr_p18_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unlikeness to known compounds and to references, normalised over the whole pool before any of it is set aside."""
+    pool = table(spark, sf_dir, POOL)
+    both = E.beside(pool, E.population(pool, ["max_similarity_to_existing", "max_similarity_to_znf_reference"]))
+    return both.select("row_id", r6(E.weighted((0.55, E.lower("max_similarity_to_existing")), (0.45, E.lower("max_similarity_to_znf_reference")))).alias("novelty"))
+
+
+def expr_p25_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of three normalised terms: prediction, nearness to the training data and drug-likeness."""
+    pool = table(spark, sf_dir, POOL)
+    both = E.beside(pool, E.population(pool, ["pred_pIC50", "descriptor_ad_distance", "qed"]))
+    return both.select("row_id", r6((E.higher("pred_pIC50") + E.lower("descriptor_ad_distance") + E.higher("qed")) / 3).alias("support"))
+
+
+def expr_p26_four_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A similarity rounded to four decimals, half to even."""
+    return table(spark, sf_dir, POOL).select("row_id", F.bround(E.known("max_similarity_to_existing"), 4).alias("similarity"))
+
+
+def f24_valid_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pool rows whose product is one component without an open site."""
+    return table(spark, sf_dir, POOL).where(S.one_molecule(F.col("product_smiles"))).select("row_id")
+
+
 def stages():
     return [
         ("potency", E.at_least("pred_pIC50", 4.6) & E.at_most("descriptor_ad_distance", 4.5)), ("alerts", F.col("pains_brenk_alerts") == 0),
@@ -173,6 +197,14 @@ WITH t AS (SELECT row_id, ({' + '.join(f'({_higher(c)}) / 7' for c in HIGH)} + {
   0.2 * ({_close('mw', 400, 150)} + {_close('logp', 3, 2)} + {_close('tpsa', 90, 45)} + {_close('rot', 5, 5)} + ({_higher('qed')})) AS p,
   {_higher('pred_pIC50')} AS q, 1 - ({_higher('max_similarity_to_existing')}) AS n FROM {_pool(*_SCORED)})
 SELECT row_id, round(a, 6) AS admet_score, round(p, 6) AS property_score, round(0.4 * q + 0.2 * a + 0.2 * p + 0.2 * n, 6) AS composite FROM t""",
+    "expr_p18_novelty": f"""
+SELECT row_id, round(0.55 * (1 - ({_higher('max_similarity_to_existing')})) + 0.45 * (1 - ({_higher('max_similarity_to_znf_reference')})), 6) AS novelty
+FROM {_pool('max_similarity_to_existing', 'max_similarity_to_znf_reference')}""",
+    "expr_p25_support": f"""
+SELECT row_id, round((({_higher('pred_pIC50')}) + 1 - ({_higher('descriptor_ad_distance')}) + ({_higher('qed')})) / 3, 6) AS support FROM {_pool('pred_pIC50', 'descriptor_ad_distance', 'qed')}""",
+    "expr_p26_four_decimals": f"SELECT row_id, round_even(max_similarity_to_existing, 4) AS similarity FROM {_pool('max_similarity_to_existing')}",
+    "f24_valid_products": """
+SELECT row_id FROM lead_selection_relaxed_pool WHERE length(trim(product_smiles)) > 0 AND NOT contains(product_smiles, '.') AND NOT contains(product_smiles, '*')""",
     "f03_funnel_counts": "\nUNION ALL ".join(
         f"SELECT {k}::BIGINT AS ord, '{n}' AS stage, count(DISTINCT product_smiles) AS remaining FROM {_STAGED} WHERE " + (" AND ".join(f"({s})" for s in _STAGES[:k]) or "true")
         for k, n in enumerate(["start", "potency", "alerts", "properties", "admet", "novelty"])

@@ -15,7 +15,7 @@ from assayloom.operators.ranking import capped, first_by, ranked
 from assayloom.operators.skew import salted_lookup
 from assayloom.plans.packed_queries import values_sql
 from assayloom.shared import shared_folder, stored, table
-from assayloom.sources.readers import read_csv, write_csv
+from assayloom.sources.readers import read_csv, read_smiles_list, write_csv, write_matrix
 from assayloom.streaming.rolling import drain, windowed_counts
 
 POOL = "lead_selection_relaxed_pool"
@@ -248,6 +248,41 @@ def f22_backup_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.join(taken, "product_smiles", "left_anti").select("row_id")
 
 
+def f02_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compounds with a measured row or one that is active without a number."""
+    groups = group_values(table(spark, sf_dir, "raw_compounds"), E.key_of("id"), "id", "pIC50", "ic50", "row_id")
+    return groups.where("has_measured OR has_active_unmeasured").select(F.col("key").alias("id_key"), "has_measured")
+
+
+def j09_rank_of_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pool row with its parent's rank and prediction, null where the parent is not ranked. The ranks are a fixed small table, which the
+    optimizer broadcasts by its size."""
+    ranks = table(spark, sf_dir, "ranked_compounds").select(E.key_of("representative_id").alias("k"), F.col("rank").alias("parent_rank"), "full_fit_prediction")
+    pool = table(spark, sf_dir, POOL).select("row_id", E.key_of("primary_parent_id").alias("k"))
+    return pool.join(ranks, "k", "left").select("row_id", "parent_rank", "full_fit_prediction")
+
+
+def k02_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each alert count and number of rule violations, written as a matrix with row labels and read back."""
+    pool = table(spark, sf_dir, POOL).select(F.coalesce(F.col("pains_brenk_alerts").cast("string"), F.lit("none")).alias("alerts"), F.coalesce(F.col("lipinski_violations").cast("string"), F.lit("none")).alias("v"))
+    cells = pool.groupBy("alerts", F.concat(F.lit("v"), "v").alias("violations")).agg(F.count(F.lit(1)).alias("n"))
+    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    write_matrix(cells, "alerts", "violations", "n", path)
+    wide = spark.read.option("header", True).csv(path)
+    columns = [c for c in wide.columns if c != "alerts"]
+    long = wide.select("alerts", F.explode(F.array(*[F.struct(F.lit(c).alias("violations"), F.col(c).try_cast("long").alias("n")) for c in columns])).alias("x"))
+    return long.select("alerts", "x.*").where("n IS NOT NULL")
+
+
+def s09_smiles_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature matrix's SMILES written as lists, blank ones as blank lines, and read back: lines and different strings."""
+    lines = table(spark, sf_dir, "final_model_feature_matrix").select(F.coalesce(E.tidy("canonical_smiles"), F.lit("")).alias("value"))
+    path = f"{shared_folder(spark)}/list-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    got = read_smiles_list(spark, path)
+    return got.agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("smiles").alias("n_smiles"), F.count_distinct("file", "name").alias("n_names"))
+
+
 def k03_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written with a folder for each lab; a filter on the lab then reads that folder alone."""
     raw = table(spark, sf_dir, "raw_compounds").select("row_id", "pIC50", F.coalesce("lab", F.lit("none")).alias("lab"))
@@ -419,6 +454,14 @@ WITH RECURSIVE o AS MATERIALIZED ({_ORDERED}), {_greedy('g', 'o', 8, None, 4, do
     "f22_backup_source": """
 SELECT row_id FROM lead_selection_relaxed_pool WHERE product_smiles IS NULL
   OR product_smiles NOT IN (SELECT product_smiles FROM lead_selection_relaxed_pool WHERE is_original_positive AND product_smiles IS NOT NULL)""",
+    "f02_positives": f"""
+SELECT id_key, bool_or(c > 0) AS has_measured FROM (SELECT {_ID} AS id_key, coalesce(ic50, -9) AS c FROM raw_compounds WHERE {_ID} IS NOT NULL) GROUP BY 1 HAVING bool_or(c >= 0)""",
+    "j09_rank_of_parent": f"""
+SELECT row_id, rank AS parent_rank, full_fit_prediction FROM lead_selection_relaxed_pool LEFT JOIN ranked_compounds ON {_PARENT} = {_KEY.format('representative_id')}""",
+    "k02_matrix": """
+SELECT coalesce(pains_brenk_alerts::VARCHAR, 'none') AS alerts, 'v' || coalesce(lipinski_violations::VARCHAR, 'none') AS violations, count(*) AS n FROM lead_selection_relaxed_pool GROUP BY 1, 2""",
+    "s09_smiles_list": f"""
+SELECT count(*) AS n_lines, count(DISTINCT s) AS n_smiles, count(*) AS n_names FROM (SELECT {_CLEAN.replace('(id,', '(canonical_smiles,')} AS s FROM final_model_feature_matrix) WHERE s <> ''""",
     "k03_partitioned": f"SELECT row_id, coalesce(lab, 'none') AS lab, {_NAN.format('pIC50')} AS pIC50 FROM raw_compounds WHERE lab = 'lumia_hts' OR lab IS NULL",
     "a08_similarity_stats": f"""
 SELECT n_unique_methods, count(s) AS n, round(avg(s), 6) AS mean, round(median(s), 6) AS median, min(s) AS least, max(s) AS most
