@@ -16,7 +16,7 @@ from assayloom.operators.skew import salted_lookup
 from assayloom.plans.packed_queries import values_sql
 from assayloom.shared import shared_folder, stored, table
 from assayloom.sources.readers import read_csv, read_smiles_list, write_csv, write_matrix
-from assayloom.streaming.rolling import drain, windowed_counts
+from assayloom.streaming.rolling import append_closed, drain, windowed_counts
 
 POOL = "lead_selection_relaxed_pool"
 r6 = lambda c: F.round(c, 6)
@@ -325,6 +325,14 @@ def x01_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
 
 
+def stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream whose windows of six hours and type are appended once they are closed, an hour after their end."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = append_closed(spark, windowed_counts(events, "ts", ["event_type"], "value", "6 hours", "1 hour"), f"{shared_folder(spark)}/closed-{uuid.uuid4().hex}")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+
+
 _KEY = "nullif(upper(regexp_replace({}, '[^A-Za-z0-9]', '', 'g')), '')"
 _ID, _PARENT = _KEY.format("id"), _KEY.format("primary_parent_id")
 _NAN = "CASE WHEN {0}::VARCHAR = 'nan' THEN NULL ELSE {0} END"
@@ -474,6 +482,9 @@ WITH p AS (SELECT product_smiles AS s, round(avg({_NAN.format('qed')}), 6) AS qe
 SELECT row_id, {_NAN.format('mw')} AS mw, p.qed, coalesce(n, 0) AS n_in_pool FROM final_model_feature_matrix LEFT JOIN p ON s = {_CLEAN.replace('(id,', '(canonical_smiles,')}""",
     "j18_of_measured_parents": f"""
 SELECT row_id FROM lead_selection_relaxed_pool WHERE {_PARENT} IN (SELECT {_KEY.format('representative_id')} FROM ranked_compounds WHERE n_measured_rows > 0)""",
+    "stream_closed_windows": """
+SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n_rows, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1, 2
+HAVING window_start + INTERVAL 6 HOURS <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""",
     "x01_stream_windows": """
 SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n_rows, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1, 2""",
 }

@@ -216,3 +216,22 @@ def test_models_on_molecules_held_out(spark, tmp_path):
     both = m14_consensus(spark, d)
     assert metrics(both, "actual", "mean").collect()[0].r2 > 0.8 and both.where("spread < 0").count() == 0
     assert [r.descriptor for r in m16_importances(spark, d).limit(2).collect()] == ["mw", "logp"]
+
+
+def test_numbers_that_must_be_known(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0)], "x double, y double")
+    assert E.require_known(df, ["y"]) is df
+    with pytest.raises(ValueError, match="'x': 1"):
+        E.require_known(df, ["x", "y"])
+
+
+def test_one_molecule(spark):
+    rows = [("CCO",), ("CC.O",), ("[1*]CC",), ("",), (" ",), (None,), ("C*",)]
+    assert [r[0] for r in spark.createDataFrame(rows, "s string").select(S.one_molecule(F.col("s"))).collect()] == [True, *[False] * 6]
+
+
+def test_caps_of_named_values(spark):
+    rows = [(i, "hot" if i % 2 else "b", 100.0 - i) for i in range(20)]
+    df = spark.createDataFrame(rows, "row_id long, s string, score double")
+    got = greedy_portfolio(df, [("score", True), ("row_id", False)], 8, {"s": 2}, only={"s": ["hot"]}).orderBy("place").collect()
+    assert [r.row_id for r in got] == [0, 1, 2, 3, 4, 6, 8, 10]

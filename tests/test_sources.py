@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayloom.sources import readers as R
-from assayloom.streaming.rolling import drain, windowed_counts
+from assayloom.streaming.rolling import append_closed, drain, windowed_counts
 
 PDB = """\
 ATOM      1  N   ALA A   1      11.104   6.134  -6.504  1.00  0.00           N
@@ -108,3 +108,21 @@ def test_matrix_with_row_labels(spark, tmp_path):
     assert got == [("a", None, "2.0"), ("b", "1.5", None), ("c", None, None)]
     with pytest.raises(ValueError):
         R.write_matrix(df, "r", "c", "v", str(tmp_path / "n"), most=1)
+
+
+def test_late_rows_of_closed_windows_are_left_out(spark, tmp_path):
+    schema = "minute long, v double"
+    folder, parts = str(tmp_path / "closed"), tmp_path / "in"
+
+    def arrive(name, rows):
+        spark.createDataFrame(rows, schema).select((F.col("minute") * 60).cast("timestamp").alias("ts"), "v").coalesce(1).write.mode("append").parquet(str(parts))
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, v double").parquet(str(parts))
+        out = append_closed(spark, windowed_counts(stream, "ts", [], "v", "30 minutes", "10 minutes"), folder)
+        return {(int(r.window_start.timestamp()) // 60, r.n_rows, r.total) for r in out.collect()}
+
+    arrive("a", [(1, 1.0), (29, 2.0), (31, 4.0), (75, 8.0)])
+    assert run() == {(0, 2, 3.0), (30, 1, 4.0)}  # the newest is 75, so windows that end by 65 are closed
+    arrive("b", [(5, 100.0), (64, 16.0), (200, 32.0)])  # the first is late, the second is not
+    assert run() == {(0, 2, 3.0), (30, 1, 4.0), (60, 2, 24.0)}
