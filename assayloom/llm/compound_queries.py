@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayloom.functions.spelling import canonical_sql
 from assayloom.llm.bundles import Bundle, Dependency, Level, best_record, best_rows
-from assayloom.llm.spellings import ELEMENTS, collapse, copies
+from assayloom.llm.spellings import collapse, copies
 from assayloom.shared import table
 
 TABLES = {"raw_compounds": "smiles", "final_model_feature_matrix": "canonical_smiles"}
@@ -64,19 +65,8 @@ def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).select("table_name", "first_row_id", F.col("value").alias("smiles"), "copies", "spellings")
 
 
-def _canonical_sql(c: str) -> str:
-    """The formatting rules as nested SQL: spaces and marks, stand-ins, wrapping, letter case, component order."""
-    c = rf"regexp_replace({c}, '[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]', '', 'g')"
-    c = f"translate({c}, '\u2013\u2212\u201c\u201d', '--\"\"')"
-    c = rf"""regexp_replace(regexp_replace({c}, '^["''`<>{{}}]+', ''), '["''`<>{{}},;.:!?]+$', '')"""
-    c = f"regexp_replace(regexp_replace({c}, 'cl', 'Cl', 'gi'), 'br', 'Br', 'gi')"
-    for e in (e for e in ELEMENTS if e not in ("Cl", "Br") and not (e[1] == "h" and e[0] in "BNCOSP")):
-        c = rf"regexp_replace({c}, '\[(\d*){e}', '[\1{e}', 'gi')"
-    return f"array_to_string(list_sort(string_split({c}, '.')), '.')"
-
-
 _COPIES = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, row_id, {c} AS raw, k FROM (SELECT row_id, {c}, {_canonical_sql(c)} AS k FROM {t}) WHERE k <> ''" for t, c in TABLES.items()
+    f"SELECT '{t}' AS table_name, row_id, {c} AS raw, k FROM (SELECT row_id, {c}, {canonical_sql(c)} AS k FROM {t}) WHERE k <> ''" for t, c in TABLES.items()
 )
 _KEY = "nullif(upper(regexp_replace(id, '[^A-Za-z0-9]', '', 'g')), '')"
 SQL = {
