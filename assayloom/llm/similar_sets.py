@@ -62,18 +62,24 @@ def merge_skip(lists: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.n
         ordered = np.sort(fronts, axis=1)
         reached = ordered[np.arange(len(probe)), need - 1]
         alive = reached < FAR
-        if not alive.all():
-            probe, fronts, end, base, need, ordered, reached = (x[alive] for x in (probe, fronts, end, base, need, ordered, reached))
-            if not len(probe):
-                break
-        hit = ordered[:, 0] == reached
+        if np.count_nonzero(alive) < 0.8 * len(probe):
+            probe, fronts, at, end, base, need, ordered, reached = (x[alive] for x in (probe, fronts, at, end, base, need, ordered, reached))
+            alive = np.ones(len(probe), bool)
+        elif not alive.any():
+            break
+        hit = (ordered[:, 0] == reached) & alive
         if hit.any():
             found.append((probe[hit], reached[hit], (fronts[hit] == reached[hit, None]).sum(axis=1)))
-        ahead = reached + hit
-        row, column = np.nonzero(fronts < ahead[:, None])
-        own = base[row, column]
-        at = np.searchsorted(lists, own + ahead[row])
-        fronts[row, column] = np.where(at < end[row, column], padded[at] - own, FAR)
+        ahead = np.where(alive, reached + hit, -1)
+        flat = np.flatnonzero(fronts < ahead[:, None])
+        row = flat // fronts.shape[1]
+        wanted, stop = base.ravel()[flat] + ahead[row], end.ravel()[flat]
+        to = at.ravel()[flat] + 1
+        value = padded[to]
+        beyond = np.flatnonzero((value < wanted) & (to < stop))  # mostly the next one is reached
+        to[beyond] = np.searchsorted(lists, wanted[beyond])
+        at.ravel()[flat] = to
+        fronts.ravel()[flat] = np.where(to < stop, padded[np.minimum(to, len(lists))] - base.ravel()[flat], FAR)
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     return tuple(map(np.concatenate, zip(*found)))
@@ -129,7 +135,8 @@ def similar_rows(frame: pd.DataFrame, t: Fraction) -> pd.DataFrame:
     k = np.bincount(el_owner[has], minlength=len(n))
     active = probes & (k >= need)
     has = np.flatnonzero(has & active[el_owner])
-    has = has[np.lexsort((end[has] - begin[has], el_owner[has]))]  # each probe's lists from the shortest to the longest
+    length = end[has] - begin[has]
+    has = has[np.argsort(el_owner[has] * (int(length.max(initial=0)) + 1) + length)]  # each probe's lists from the shortest to the longest
     k = np.where(active, k, 0)
     first = np.cumsum(k) - k
     short = np.where(need > 0, k - need + np.minimum(need, IN_SHORT_LISTS), 0)
