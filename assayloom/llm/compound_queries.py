@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.spelling import canonical_sql
 from assayloom.llm.bundles import Bundle, Dependency, Level, best_record, best_rows
-from assayloom.llm.spellings import collapse, copies
+from assayloom.llm.spellings import collapse, copies, tagged_parts
 from assayloom.shared import table
 
 TABLES = {"raw_compounds": "smiles", "final_model_feature_matrix": "canonical_smiles"}
@@ -54,15 +54,22 @@ def p1_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, row_id, value) of both tables, each value with its table's name, so that one dictionary serves both."""
+    rows = [table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "row_id", F.concat(F.lit(f"{t}\0"), c).alias("value")) for t, c in TABLES.items()]
+    return rows[0].unionByName(rows[1])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [copies(table(spark, sf_dir, t), "row_id", c).withColumn("table_name", F.lit(t)) for t, c in TABLES.items()]
-    return found[0].unionByName(found[1]).select("table_name", "first_row_id", "row_id")
+    found = copies(_spelled(spark, sf_dir), "row_id", "value", ["table_name"], parts=tagged_parts)
+    return found.select("table_name", "first_row_id", "row_id")
 
 
 def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per molecule and table, with its number of copies and of spellings."""
-    found = [collapse(table(spark, sf_dir, t), "row_id", c).withColumn("table_name", F.lit(t)) for t, c in TABLES.items()]
-    return found[0].unionByName(found[1]).select("table_name", "first_row_id", F.col("value").alias("smiles"), "copies", "spellings")
+    found = collapse(_spelled(spark, sf_dir), "row_id", "value", parts=tagged_parts)
+    named = F.split("value", "\0", 2)
+    return found.select(named[0].alias("table_name"), "first_row_id", named[1].alias("smiles"), "copies", "spellings")
 
 
 _COPIES = " UNION ALL ".join(

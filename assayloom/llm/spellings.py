@@ -41,11 +41,23 @@ def encode(df: DataFrame, row_id: str, value: str, parts: Callable[[], Callable[
     return values.drop("first").join(groups, "tuple")
 
 
-def copies(df: DataFrame, row_id: str, value: str, **how) -> DataFrame:
-    """(first_row_id, row_id) of each row that copies an earlier one; unaltered repeats count. Other columns of df are not read."""
-    rows = df.select(F.col(row_id).alias("row_id"), F.col(value).alias("value"))
+def tagged_parts() -> Callable[[str], list[str]]:
+    """Parts of values of several columns at once: a value is tag, NUL, text, and its parts keep the tag, so no two columns share a tuple."""
+    parts = smiles_parts()
+
+    def tagged(value: str) -> list[str]:
+        tag, _, text = value.partition("\0")
+        return [f"{tag}\0{p}" for p in parts(text)]
+
+    return tagged
+
+
+def copies(df: DataFrame, row_id: str, value: str, keep: list[str] = (), **how) -> DataFrame:
+    """(first_row_id, row_id) of each row that copies an earlier one, with the columns `keep`; unaltered repeats count. Other columns of df
+    are not read."""
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(value).alias("value"), *keep)
     shared = stored(encode(rows, "row_id", "value", **how).where(F.col("copies") > 1).select("value", "n_rows", "first_row_id"), "copies")  # read thrice
-    return salted_lookup(rows, shared, "value", "row_id").where(F.col("row_id") != F.col("first_row_id")).select("first_row_id", "row_id")
+    return salted_lookup(rows, shared, "value", "row_id").where(F.col("row_id") != F.col("first_row_id")).select(*keep, "first_row_id", "row_id")
 
 
 def collapse(df: DataFrame, row_id: str, value: str, **how) -> DataFrame:

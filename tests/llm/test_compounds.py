@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.bundles import Bundle, Dependency, best_record, best_rows
 from assayloom.llm.compound_queries import id_key
-from assayloom.llm.spellings import collapse, copies, smiles_parts
+from assayloom.llm.spellings import collapse, copies, smiles_parts, tagged_parts
 
 
 def brute(rows, k):
@@ -109,3 +109,10 @@ def test_copies_and_collapse(spark):
         (3, "CCl.O", 3, 2), (4, "C" * 50_000 + ";", 2, 2), (8, "O", 1, 1)
     }
     assert copies(df.limit(0), "row_id", "smiles").count() == 0
+
+
+def test_columns_of_one_dictionary_share_no_tuple(spark):
+    rows = [("a", 1, "CCl"), ("a", 2, "C CL"), ("b", 1, "CCl"), ("b", 3, "O"), ("b", 4, None), ("a", 5, " ")]
+    df = spark.createDataFrame([(t, i, s and f"{t}\0{s}") for t, i, s in rows], "t string, row_id long, smiles string")
+    assert {tuple(r) for r in copies(df, "row_id", "smiles", ["t"], parts=tagged_parts).collect()} == {("a", 1, 2)}
+    assert {(r.value, r.copies) for r in collapse(df, "row_id", "smiles", parts=tagged_parts).collect()} == {("a\0CCl", 2), ("b\0CCl", 1), ("b\0O", 1)}
