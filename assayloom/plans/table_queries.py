@@ -130,7 +130,8 @@ def j04_parent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j05_one_row_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join that cannot fan out: the right side is made unique first (latest report of each SMILES)."""
-    latest = F.struct(-F.unix_micros(F.coalesce(F.col("reported_at"), F.lit("1900-01-01").cast("timestamp_ntz")).cast("timestamp")), F.col("row_id"))
+    since = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1900-01-01 00:00:00', reported_at)")  # of its own clock, whatever the session's zone
+    latest = F.struct(-F.coalesce(since, F.lit(0)), F.col("row_id"))
     right = first_by(table(spark, sf_dir, "raw_compounds").where("smiles IS NOT NULL"), ["smiles"], latest, ["row_id", "lab"]).withColumnRenamed("row_id", "raw_row_id")
     left = table(spark, sf_dir, "final_model_feature_matrix").select("row_id", F.col("canonical_smiles").alias("smiles"))
     return left.join(right, "smiles", "left").select("row_id", "raw_row_id", "lab")
