@@ -26,6 +26,22 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(sizes, "size_id").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 6))
 
 
+def p7_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p7_packed, by capacity: every text is there, none is cut that would fit, every capacity has the same tokens of a text,
+    no container is overfull, and there are hardly more containers than the tokens need (3 percent and one)."""
+    packed = stored(p7_packed(spark, sf_dir), "packed")
+    sizes = table(spark, sf_dir, "container_sizes").select("size_id", F.col("n_tokens").alias("capacity"))
+    texts = packed.groupBy("size_id", "doc_id").agg(F.sum("n_tokens").alias("total"), F.count(F.lit(1)).alias("pieces"))
+    uneven = texts.groupBy("doc_id").agg((F.min("total") < F.max("total")).alias("uneven"))
+    texts = texts.join(uneven, "doc_id").join(F.broadcast(sizes), "size_id").groupBy("size_id").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("pieces") > 1) & (F.col("total") <= F.col("capacity"))).alias("n_cut"), F.count_if("uneven").alias("n_uneven")
+    )
+    filled = packed.where("container_id IS NOT NULL").groupBy("size_id", "container_id").agg(F.sum("n_tokens").alias("filled")).join(F.broadcast(sizes), "size_id")
+    filled = filled.groupBy("size_id", "capacity").agg(F.count_if(F.col("filled") > F.col("capacity")).alias("n_overfull"), F.count(F.lit(1)).alias("n"), F.sum("filled").alias("tokens"))
+    tight = F.col("n") <= F.ceil(F.col("tokens") / (0.97 * F.col("capacity"))) + 1
+    return texts.join(filled, "size_id").select("size_id", "n_texts", "n_cut", "n_uneven", "n_overfull", tight.alias("tight"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "eval_items"), "item_id").select("doc_id", "item_id")
 
@@ -58,6 +74,7 @@ WITH w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\
 g AS (SELECT DISTINCT side, id, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM w)),
 f AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_passages FROM g d JOIN g i ON d.gram = i.gram AND d.side = 'd' AND i.side = 'i' GROUP BY ALL)"""
 SQL = {
+    "p7_sound": "SELECT size_id, (SELECT count(*) FROM documents) AS n_texts, 0::BIGINT AS n_cut, 0::BIGINT AS n_uneven, 0::BIGINT AS n_overfull, TRUE AS tight FROM container_sizes",
     "p8_found": _GRAMS + "SELECT doc_id, item_id FROM f",
     "p8_by_item": _GRAMS
     + """SELECT item_id, suite, lang, coalesce(n_docs, 0) AS n_docs, coalesce(most_passages, 0) AS most_passages FROM eval_items
@@ -80,4 +97,4 @@ SELECT doc_id, any_value(length(text)) AS n_chars, count_if(before IS NULL OR i
   round(sum(CASE WHEN before IS NULL THEN 300 ELSE least(300, i - before) END) / any_value(length(text)), 6) AS share
 FROM g JOIN documents USING (doc_id) GROUP BY doc_id""",
 }
-QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_links": p9_links, "p9_shared": p9_shared}
+QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p7_sound": p7_sound, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_links": p9_links, "p9_shared": p9_shared}

@@ -48,6 +48,17 @@ def p6_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.join(F.broadcast(chosen), products["row_id"] == chosen["rec_id"]).select("row_id", "place", "scaffold", "product_smiles")  # WANTED rows
 
 
+def p6_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p6_subset: as many different products as are wanted or there are, in places from 1 on, all of them of the pool."""
+    chosen = p6_subset(spark, sf_dir)
+    pool = table(spark, sf_dir, "lead_selection_relaxed_pool").select("row_id", F.col("product_smiles").alias("_product"), F.col("scaffold").alias("_scaffold"))
+    same = F.col("_product").eqNullSafe(F.col("product_smiles")) & F.col("_scaffold").eqNullSafe(F.col("scaffold"))
+    return chosen.join(pool, "row_id").agg(
+        F.count(F.lit(1)).alias("n_chosen"), F.count_distinct("product_smiles").alias("n_products"), F.count_distinct("place").alias("n_places"), F.max("place").alias("last_place"),
+        F.count_if(~same).alias("n_altered"),
+    )
+
+
 def p6_by_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each scaffold's products in the pool, and how many of them were chosen."""
     chosen = p6_subset(spark, sf_dir).groupBy("scaffold").agg(F.count(F.lit(1)).alias("n_chosen"))
@@ -62,6 +73,9 @@ WITH p AS (
     CASE WHEN pred_pIC50::VARCHAR = 'nan' THEN NULL ELSE pred_pIC50 END AS score FROM lead_selection_relaxed_pool
 ), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC NULLS LAST, row_id) AS place FROM p)"""
 SQL = {
+    "p6_sound": f"""
+SELECT n AS n_chosen, n AS n_products, n AS n_places, n AS last_place, 0::BIGINT AS n_altered
+FROM (SELECT least({WANTED}, count(DISTINCT product_smiles)) AS n FROM lead_selection_relaxed_pool WHERE trim(product_smiles) <> '')""",
     "p3_found": _RANKED + f"SELECT row_id FROM r WHERE parent IS NOT NULL AND place > floor({SHARE} * (SELECT count(*) FROM p))",
     "p3_capped": _RANKED
     + f""", c AS (SELECT count(*) AS n FROM p GROUP BY parent), n AS (SELECT count(*) AS n FROM p WHERE parent IS NOT NULL GROUP BY parent),
@@ -70,4 +84,4 @@ best AS (SELECT coalesce(max(c), 0) AS level FROM levels WHERE c <= 1e-9 + {SHAR
 SELECT parent, count(*) AS n_kept, min(score) AS least_pic50, sum(row_id)::BIGINT AS id_sum FROM r
 WHERE parent IS NULL OR place <= (SELECT level FROM best) GROUP BY parent""",
 }
-QUERIES = {"p3_found": p3_found, "p3_capped": p3_capped, "p6_subset": p6_subset, "p6_by_scaffold": p6_by_scaffold}
+QUERIES = {"p3_found": p3_found, "p3_capped": p3_capped, "p6_subset": p6_subset, "p6_by_scaffold": p6_by_scaffold, "p6_sound": p6_sound}
