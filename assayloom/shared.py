@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     cluster that is an error, since what an executor wrote to its own disk the others would miss."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(CHECKPOINT_DIR, folder)
