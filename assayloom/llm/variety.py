@@ -27,7 +27,8 @@ SLOTS = 1 << 16
 STEP = 0.75
 #: Partitions whose additions one task merges.
 FAN_IN = 16
-RECORD = "rec_id long, slots array<long>, weights array<float>"
+#: Features travel as the bytes of 64-bit numbers and 32-bit weights, which are read as one array per batch.
+RECORD = "rec_id long, slots binary, weights binary"
 RECORD_COLUMNS = ["rec_id", "slots", "weights"]
 SELECTED = "rec_id long, gain double, slots array<long>, masses array<double>"
 
@@ -38,7 +39,7 @@ def text_features(group: Column, text: str, gram: int = 4, group_weight: float =
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - gram + 1)), lambda i: F.substr(F.col(text), i, F.lit(gram))))
     slot = lambda kind, x: F.xxhash64(F.lit(kind), x)
     slots = F.concat(F.array(slot("group", F.coalesce(group, F.lit("")))), F.transform(runs, lambda r: slot("run", r)))
-    equal = F.array_repeat((1 - group_weight) / F.size(runs), F.size(runs))  # not computed anew for each run
+    equal = F.transform(F.array(F.size(runs)), lambda n: F.array_repeat((1 - group_weight) / n, n))[0]  # the runs are made once
     weights = F.concat(F.array(F.lit(group_weight)), equal).cast("array<float>")
     return slots, weights
 
@@ -84,6 +85,18 @@ def gain(mass: Masses | np.ndarray, slots: np.ndarray, weights: np.ndarray) -> f
     return float((np.sqrt(now + weights) - np.sqrt(now)).sum())
 
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records with features, as bytes, and the gain of each if it is chosen first. Here, because each use of a column that is made by
+    functions of arrays computes it anew."""
+    for batch in batches:
+        batch = batch[[x is not None and len(x) > 0 for x in batch["slots"]]]
+        weights = [np.asarray(x, np.float32) for x in batch["weights"]]
+        yield pd.DataFrame({
+            "rec_id": batch["rec_id"], "slots": [np.asarray(x, np.int64).tobytes() for x in batch["slots"]], "weights": [x.tobytes() for x in weights],
+            "top": [float(np.sqrt(x.astype(np.float64)).sum()) for x in weights],
+        })
+
+
 def _round(shared, threshold: float, wanted: int, last: bool = False):
     """mapInPandas: the records that a pass over a partition adds at this threshold. The last pass gives their gains instead of their
     features, and at its end a row of all features that got mass, without an id."""
@@ -95,23 +108,25 @@ def _round(shared, threshold: float, wanted: int, last: bool = False):
                 break
             if len(mass.added) > len(mass.features) // 8:
                 mass = mass.settled()
-            slots, weights = batch["slots"].to_numpy(), batch["weights"].to_numpy()
-            sizes = np.array([len(s) for s in slots])
-            flat, w = np.concatenate(slots), np.concatenate(weights).astype(np.float64)
+            slots, weights = batch["slots"].tolist(), batch["weights"].tolist()
+            flat, w = np.frombuffer(b"".join(slots), np.int64), np.frombuffer(b"".join(weights), np.float32).astype(np.float64)
+            ends = np.cumsum([len(s) // 8 for s in slots])
+            starts = np.concatenate(([0], ends[:-1]))
             now = mass[flat]
-            gains = np.add.reduceat(np.sqrt(now + w) - np.sqrt(now), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            gains = np.add.reduceat(np.sqrt(now + w) - np.sqrt(now), starts)
             picked, won = [], []
             for i in np.argsort(-gains, kind="stable"):
                 if gains[i] < threshold or taken >= wanted:  # gains only fall, so the rest is below too
                     break
-                more = gain(mass, slots[i], weights[i].astype(np.float64))
+                own, its = flat[starts[i] : ends[i]], w[starts[i] : ends[i]]
+                more = gain(mass, own, its)
                 if more >= threshold:
-                    mass.add(slots[i], weights[i].astype(np.float64))
+                    mass.add(own, its)
                     picked.append(i)
                     won.append(more)
                     taken += 1
                     if last:
-                        added.add(slots[i], weights[i].astype(np.float64))
+                        added.add(own, its)
             if not last:
                 yield batch.iloc[picked][RECORD_COLUMNS]
             elif picked:
@@ -132,9 +147,8 @@ def varied_subset(records: DataFrame, wanted: int, step: float = STEP, least: fl
     rows and the different features that they hold reach the driver, nothing else does.
     """
     spark = records.sparkSession
-    top = F.aggregate("weights", F.lit(0.0), lambda a, x: a + F.sqrt(x.cast("double")))
-    kept = records.select("rec_id", F.col("slots").cast("array<long>").alias("slots"), "weights", top.alias("top")).where(F.size("slots") > 0)
-    kept = stored(kept.repartition("rec_id").sortWithinPartitions("rec_id"), "features")
+    kept = records.select("rec_id", "slots", "weights").mapInPandas(_pack, f"{RECORD}, top double").repartition("rec_id").sortWithinPartitions("rec_id")
+    kept = stored(kept, "features")
     start = kept.agg(F.max("top")).collect()[0][0]
     mass, selected = Masses.none(), []
     threshold = start or 0.0
