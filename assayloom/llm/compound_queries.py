@@ -32,22 +32,22 @@ HAS_POTENCY = lambda: F.col("pIC50").isNotNull() & ~F.isnan("pIC50")  # noqa: E7
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field is a bundle of its own. The id determines both potencies: all fields of a record must come from rows that name one
     compound. A group has one such key, so that the bound is reached at the root of its search and each field has its most trusted value."""
-    rows = table(spark, sf_dir, "raw_compounds")
+    rows = table(spark, sf_dir, "raw_compounds").withColumn("id_key", id_key("id"))  # made once, as it is used often
     fields = [Bundle("id", ("id",)), Bundle("pIC50", ("pIC50",), HAS_POTENCY()), Bundle("ic50", ("ic50",))]
-    rules = [Dependency("id", f, id_key("id"), id_key("id")) for f in ("pIC50", "ic50")]
-    best = best_rows(rows, id_key("id"), fields, label_trust(), "row_id", rules).where(F.col("n_rows") >= 2)
+    rules = [Dependency("id", f, F.col("id_key"), F.col("id_key")) for f in ("pIC50", "ic50")]
+    best = best_rows(rows, F.col("id_key"), fields, label_trust(), "row_id", rules).where(F.col("n_rows") >= 2)
     cases = F.explode(F.array(*[F.struct(F.lit(b.name).alias("field_name"), F.col(b.name).alias("row_id")) for b in fields]))
     return best.select("id_key", cases.alias("x")).select("id_key", "x.*").where(F.col("row_id").isNotNull())
 
 
 def p1_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per compound: id and SMILES from one row; the label code must determine the potency (pIC50 = 9 - log10 of nM)."""
-    rows = table(spark, sf_dir, "raw_compounds")
+    rows = table(spark, sf_dir, "raw_compounds").withColumn("id_key", id_key("id"))
     code = F.col("ic50")
     expected = F.when(code > 0, F.round(9 - F.log10(code.cast("double")), 1)).when(code == 0, 4.5).when(code == -1, 3.0)
     bundles = [Bundle("identity", ("id", "smiles")), Bundle("label", ("ic50",)), Bundle("potency", ("pIC50",), HAS_POTENCY())]
     rule = Dependency("label", "potency", expected, F.round("pIC50", 1))
-    best = best_record(rows, id_key("id"), bundles, label_trust(), "row_id", [rule])
+    best = best_record(rows, F.col("id_key"), bundles, label_trust(), "row_id", [rule])
     return best.select(
         "id_key", "n_rows", "identity.id", "identity.smiles", F.col("identity.row_id").alias("identity_row_id"), "label.ic50",
         F.col("label.row_id").alias("label_row_id"), "potency.pIC50", F.col("potency.row_id").alias("potency_row_id"),
