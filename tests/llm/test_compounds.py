@@ -1,12 +1,15 @@
 import itertools
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from assayloom.llm import bundles, compound_queries
 from assayloom.llm.bundles import Bundle, Dependency, best_record, best_rows
 from assayloom.llm.compound_queries import id_key
 from assayloom.llm.spellings import collapse, copies, smiles_parts, tagged_parts
+from tests.compare import rows_of
 
 
 def brute(rows, k):
@@ -91,6 +94,40 @@ def test_groups_without_candidates_ties_and_empty(spark):
     assert make(df.limit(0)).count() == 0
 
 
+@pytest.fixture
+def contradicting(spark, tmp_path):
+    """Row 3 is the latest measured one but has no potency, and its label contradicts the potency of row 1."""
+    day = lambda d: datetime(2025, 1, d)
+    rows = [
+        (1, "A-1", 7.0, 100, "C", day(1)), (2, "a 1", 3.0, -1, "C", day(3)), (3, "A1", float("nan"), 1000, "CC", day(2)), (4, "B2", 5.0, 0, "N", day(1)),
+        (5, "C3", None, 5, None, None), (6, "c-3", None, None, "O", day(1)), (7, None, 6.0, 10, "O", day(1)), (8, " - ", 6.0, 10, "O", day(1)),
+    ]
+    df = spark.createDataFrame(rows, "row_id long, id string, pIC50 double, ic50 long, smiles string, reported_at timestamp_ntz")
+    df.write.parquet(f"{tmp_path}/raw_compounds.parquet")
+    return str(tmp_path)
+
+
+def test_fields_are_found_in_one_pass(spark, contradicting):
+    found = compound_queries.p1_found(spark, contradicting)
+    assert all("/raw_compounds.parquet/" in f for f in found.inputFiles())  # nothing is stored on the way
+    assert {tuple(r) for r in found.collect()} == {("A1", "id", 3), ("A1", "pIC50", 1), ("A1", "ic50", 3), ("C3", "id", 5), ("C3", "ic50", 5)}
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_consistent"])
+def test_declared_rules_change_the_rows(spark, contradicting, monkeypatch, name):
+    declared = []
+
+    def without_rules(df, group, fields, trust, row_id, dependencies=()):
+        declared.extend(dependencies)
+        return best_rows(df, group, fields, trust, row_id)
+
+    query = compound_queries.QUERIES[name]
+    with_rules = rows_of(query(spark, contradicting))
+    for module in (bundles, compound_queries):
+        monkeypatch.setattr(module, "best_rows", without_rules)
+    assert (rows_of(query(spark, contradicting)) != with_rules) == bool(declared)
+
+
 def test_canonical_parts():
     parts = smiles_parts()
     same = ["CC(=O)O.[Na+].Cl", " [NA+].CC(=O)O.cL;", '<"Cl.C C(=O)​O.[na+]">', "“CC(=O)O.CL.[Na+]”, ", "（CC(=O)O.[Na⁺].Cl）"]
